@@ -121,10 +121,10 @@ def with_filter(df: DataFrame, key: F.Column, keys: DataFrame, column: str, bits
     words = (
         keys.select(place(F.col(column)).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("_word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("p", F.lit(64)))).alias("_bits"))
+        .agg(F.expr("bit_or(shiftleft(1L, pmod(p, 64)))").alias("_bits"))
     )
     marked = df.withColumn("_place", place(key)).withColumn("_word", F.shiftright("_place", 6))
-    hit = marked.join(F.broadcast(words), "_word").where(F.shiftright("_bits", F.pmod("_place", F.lit(64))).bitwiseAND(1) == 1)
+    hit = marked.join(F.broadcast(words), "_word").where(F.expr("shiftright(_bits, pmod(_place, 64)) & 1 = 1"))
     return hit.drop("_word", "_bits", "_place")
 
 
