@@ -1,22 +1,52 @@
-"""The corpus pipeline: documents pass the stages in order, each over all its predecessor kept."""
+"""The corpus pipeline: documents pass the stages in order, each over all its predecessor kept.
+
+Every stage is written as Parquet in the cluster's shared folder and read back, so losing an
+executor costs the tasks it was running and nothing before them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from discweave.llm import bpe
+from discweave.llm import bpe, exact, language, minhash, mixing
 from discweave.llm.common import materialize, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language is anyone's guess, go."""
+    return language.keep_identified(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the longest spelling with the smallest doc_id stays."""
+    return exact.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar shingle sets stays: the smallest doc_id."""
+    return minhash.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are evened out as far as repeating one twice allows; no document is left out."""
+    return mixing.mixed_rows(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of every document that is left."""
+    """BPE ids of every row that is left, and the text decoded from them."""
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("minhash_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-#: Language identification and sampling by hash blocks have no SQL form.
+#: Language identification, sampling by hash blocks and tokenizing have no SQL form.
 ORACLE_SQL = None
 
 

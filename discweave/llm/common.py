@@ -110,12 +110,13 @@ def shard_of(key: str, splits: list[int]) -> F.Column:
 FILTER_BITS = 1 << 23
 
 
-def with_filter(df: DataFrame, key: F.Column, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+def with_filter(df: DataFrame, key: F.Column, keys: DataFrame, column: str, bits: int = FILTER_BITS, keep: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``keys[column]``, by a bitmap filter.
 
     The bitmap has ``bits`` bits in 64-bit words whatever the input, at most 131,072 rows of
     12 bytes at the default, so broadcasting it is safe at any scale. Beyond its capacity it
     lets more rows through, never fewer; callers join exactly afterwards.
+    ``keep`` False gives the other rows, none of which is in ``keys``.
     """
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits)).cast("int")
     words = (
@@ -124,10 +125,31 @@ def with_filter(df: DataFrame, key: F.Column, keys: DataFrame, column: str, bits
         .agg(F.expr("bit_or(shiftleft(1L, pmod(p, 64)))").alias("_bits"))
     )
     marked = df.withColumn("_place", place(key)).withColumn("_word", F.shiftright("_place", 6))
-    hit = marked.join(F.broadcast(words), "_word").where(F.expr("shiftright(_bits, pmod(_place, 64)) & 1 = 1"))
+    bit = F.expr("shiftright(_bits, pmod(_place, 64)) & 1 = 1")
+    if keep:
+        hit = marked.join(F.broadcast(words), "_word").where(bit)
+    else:
+        hit = marked.join(F.broadcast(words), "_word", "left").where(~F.coalesce(bit, F.lit(False)))
     return hit.drop("_word", "_bits", "_place")
 
 
+def keep_rows(docs: DataFrame, key: F.Column, decisions: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (key, kept) does not drop.
+
+    Rows whose key is in no drop decision stay where they are; the others meet the kept keys
+    in a join, so only their texts move. Of rows that share a key of which some row is kept
+    and some is dropped, one stays.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key.alias("_key"))
+    dropped, kept = decisions.where("not kept").select("key"), decisions.where("kept").select(F.col("key").alias("_key")).distinct()
+    sure = with_filter(packed, F.col("_key"), dropped, "key", keep=False)
+    maybe = with_filter(packed, F.col("_key"), dropped, "key")
+    tied = decisions.groupBy("key").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("key").alias("_key"))
+    lone = maybe.join(tied, "_key", "left_anti").join(kept, "_key", "left_semi")
+    again = maybe.join(tied, "_key", "left_semi").groupBy("_key").agg(F.any_value("_row").alias("_row"))
+    return sure.select("_row.*").unionByName(lone.select("_row.*")).unionByName(again.select("_row.*"))
+
+
 # --- a bounded cache for workers -------------------------------------------------------------
 
 

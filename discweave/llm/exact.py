@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import WORD_SEPARATORS, materialize, scratch, text_or_empty, with_filter
+from discweave.llm.common import WORD_SEPARATORS, keep_rows, materialize, scratch, text_or_empty, with_filter
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -86,3 +86,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = keyed.join(apart, "digest", "left_semi").select("id", F.length("text").alias("n"), "body", text_digest(F.col("body")).alias("sha"), F.monotonically_increasing_id().alias("row"))
     rest = materialize(rest, "exact-collided")
     return same.unionByName(decide(rest, compact(rest, "body"), "body"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    decided = exact_groups(docs, id_col, text_col)
+    decided = materialize(decided.select(F.struct("doc_id", F.col("text_sha256").alias("sha")).alias("key"), "kept"), "exact-decided")
+    key = F.struct(docs[id_col].cast("long").alias("doc_id"), text_digest(normalised(F.coalesce(docs[text_col].cast("string"), F.lit("")))).alias("sha"))
+    return keep_rows(docs, key, decided)

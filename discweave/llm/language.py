@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from discweave.llm.common import text_or_empty
 
@@ -177,8 +178,6 @@ def identify(docs: DataFrame, model: Model, *keep: F.Column, text_col: str = "te
             columns = [*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kinds.names, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType
-
     return inner.mapInArrow(run, type(kinds)(kinds.fields).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
@@ -196,3 +195,12 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     held_out = F.coalesce(crc_class(id_col, 4) == 2, F.lit(False))
     model = learn(docs, crc_class(id_col, 4) != 2, text_col, lang_col, id_col, per_language)
     return identify(docs, model, F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text_col=text_col)
+
+
+def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a letter and a language that
+    scores ``least`` or more."""
+    model = learn(docs, crc_class(id_col, 4) != 2, text_col, lang_col, id_col)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    found = identify(packed, model, F.col("row"), text_col="text")
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

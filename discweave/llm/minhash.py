@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import materialize, text_or_empty, with_filter
+from discweave.llm.common import keep_rows, materialize, text_or_empty, with_filter
 from discweave.llm.components import star_components
 
 ROWS, BANDS = 5, 36
@@ -140,10 +140,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked when 100 * intersection >= ``percent`` * union of their sets of
     distinct ``width``-word shingles; a document of fewer words has its whole sequence as one
     shingle. Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach),
-    kept (doc_id = component_id). A text that is null or without words has an empty set and is
-    alone. Null ids take part: they are never the smallest unless all in the component are
-    null, and then component_id is null and kept false except for a document that is alone.
-    Rows that share an id are separate documents. Other columns are not read; an empty table
+    kept (doc_id = component_id) and text_hash. A text that is null or without words has an
+    empty set and is alone. A null id is never the smallest, unless all ids of a component are
+    null: then component_id is null and all are kept. Rows that share an id are separate
+    documents, kept where that id is the smallest. Other columns are not read; an empty table
     gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -181,9 +181,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = known.groupBy("top").agg(F.min("id").alias("component"))
     reached = materialize(known.join(least, "top").select("set", F.col("component").alias("other"), F.lit(True).alias("grouped")), "minhash-reached")
     alone = classes.select("set", F.col("id").alias("smallest"))
-    result = signed.select("id", "n", "set").join(alone.join(reached, "set", "left"), "set", "left")
+    result = signed.select("id", "n", "set", "mark").join(alone.join(reached, "set", "left"), "set", "left")
     component = F.when(F.col("grouped"), F.col("other")).otherwise(F.coalesce("smallest", "id"))
-    return result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    result = result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("mark").alias("text_hash"))
+    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the one its component keeps, with all columns."""
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    decided = materialize(found.select(F.struct("doc_id", "text_hash").alias("key"), "kept"), "minhash-decided")
+    key = F.struct(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("text_hash"))
+    return keep_rows(docs, key, decided)
 
 
 def compare(near: DataFrame, width: int, percent: int) -> DataFrame:

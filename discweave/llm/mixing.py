@@ -135,11 +135,11 @@ def in_blocks(df: DataFrame, known: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, **options) -> tuple[Mixture, DataFrame]:
     """The mixture, and the rows of ``docs`` repeated or left out as it says, in a struct ``row``
-    beside key, epoch, block and at; sort by ``at`` for the order of the stream."""
+    beside key, epoch, block, at and h (a hash of the id); sort by ``at`` for the order of the stream."""
     decision, known, plan = schedule(docs, id_col=id_col, source_col=source_col, seed=seed, **options)
     inner = docs.select(source_key(docs[source_col]).alias("key"), place_hash(docs[id_col], seed).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     out = in_blocks(inner, known).join(plan, ["key", "block"]).where("cut IS NULL OR h <= cut")
-    return decision, out.select("row", "key", "epoch", "block", "at")
+    return decision, out.select("row", "key", "epoch", "block", "at", "h")
 
 
 def mixed_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: float = 2.0, **options) -> DataFrame:
@@ -149,3 +149,11 @@ def mixed_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weights = docs.sparkSession.createDataFrame([(s, w, float(decision.epochs[s])) for s, w in decision.weights.items()], "key string, weight double, epochs double")
     rows = rows.select("key", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(F.coalesce("row.text", F.lit(""))).alias("tokens"), "epoch", "block", "at")
     return rows.join(F.broadcast(weights), "key").drop("key")
+
+
+def mixed_rows(docs: DataFrame, max_repeats: float = 2.0, **options) -> DataFrame:
+    """The stream itself: rows of ``docs`` with all their columns, repeated as the weights ask,
+    range-sorted by their place in the stream."""
+    _, rows = mix(docs, max_repeats=max_repeats, **options)
+    spread = rows.withColumn("tie", F.xxhash64("key", "block", "h"))
+    return spread.repartitionByRange("at", "tie").sortWithinPartitions("at", "tie").select("row.*")

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import text_or_empty
+from discweave.llm.common import materialize, text_or_empty
 from discweave.llm.language import crc_class
 
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
@@ -119,29 +120,26 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
 
 
-def select(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float = 24.0) -> dict[str, float]:
+def select(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: float = 18.0) -> dict[str, float]:
     """Lexicon entries: features that occur in toxic documents far more often than chance allows
     (a likelihood ratio of ``least`` or more) and are rare in clean ones, weighted by log odds.
-    A word beginning is left out where one whole word accounts for it, or a shorter beginning
-    is as good; a word where a kept beginning covers it."""
+    A word beginning is left out where one whole word accounts for it, and any entry where a
+    kept shorter beginning is as good."""
     share = n_toxic / max(1, n_toxic + n_clean)
     good: dict[str, float] = {}
     for f, t in toxic.items():
         c, p = clean.get(f, 0), t / (t + clean.get(f, 0))
         ratio = 2 * (t * math.log(p / share) + (c * math.log((1 - p) / (1 - share)) if c else 0)) if p > share else 0
-        if ratio >= least and t / max(1, n_toxic) > 10 * c / max(1, n_clean):
+        if ratio >= least and t / max(1, n_toxic) > 4 * c / max(1, n_clean):
             good[f] = math.log(((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1)))
-    words = {f for f in good if f.endswith(" ")}
     kept: dict[str, float] = {}
-    for f in sorted((f for f in good if f not in words), key=len):
-        if any(f[:n] in kept for n in range(5, len(f))):
-            continue
-        if not any(w.startswith(f) and toxic[w] >= 0.9 * toxic[f] for w in words):
+    for f in sorted((f for f in good if not f.endswith(" ")), key=len):
+        if not any(kept.get(f[:n], 0.0) >= good[f] - 0.3 for n in range(5, len(f))):
             kept[f] = good[f]
-    for w in words:
-        if not any(w[:n] in kept for n in range(5, len(w))):
-            kept[w] = good[w]
-    return kept
+    words = {f for f in good if f.endswith(" ")}
+    alone = {f for f in kept if any(w.startswith(f) and toxic[w] >= 0.9 * toxic[f] for w in words)}
+    kept = {f: w for f, w in kept.items() if f not in alone}
+    return kept | {w: good[w] for w in words if not any(kept.get(w[:n], 0.0) >= good[w] - 0.3 for n in range(5, len(w)))}
 
 
 def fit_curve(points: np.ndarray, labels: np.ndarray, penalty: float = 0.5, rounds: int = 60) -> tuple[float, float, float]:
@@ -183,8 +181,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc
 
     folded = texts.select("label", "text").mapInArrow(sketch, "label int, text string, mark long")
     apart = folded.groupBy("label", "mark").agg(F.min("text").alias("text")).select("label", "text")
-    from discweave.llm.common import materialize
-
     apart = materialize(apart, "toxicity-sample")
     counted = apart.mapInArrow(count, "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
     rows_of = counted.where((F.col("feature") == "") | (F.col("t") >= 4) & (F.col("t") * 2 > F.col("c"))).toArrow().to_pylist()
@@ -205,8 +201,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc
 
 
 def hash_of(word: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(word) >> 1
 
 
