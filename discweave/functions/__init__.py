@@ -1 +0,0 @@
-"""functions"""

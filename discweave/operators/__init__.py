@@ -1 +0,0 @@
-"""operators"""

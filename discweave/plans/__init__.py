@@ -1 +0,0 @@
-"""plans"""

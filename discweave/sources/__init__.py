@@ -1 +0,0 @@
-"""sources"""

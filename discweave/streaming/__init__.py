@@ -1 +0,0 @@
-"""streaming"""
