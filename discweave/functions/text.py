@@ -55,7 +55,7 @@ def without_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
-ALLOWED = r"[^\p{L}\p{N}\u0590-\u05FF \-'&.,:!?()/]"
+ALLOWED = r"[^\p{L}\p{N}\u0590-\u05FF .,!?'()-]"
 LETTERS = r"[^\p{L}\p{N}\u0590-\u05FF]"
 
 
