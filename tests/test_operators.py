@@ -92,7 +92,7 @@ def test_labels(spark):
     assert one(text.sanitize, "  a:b/c\td  e.. ") == "abcd_e"
     assert one(text.sanitize, "..__") == "untitled" and len(one(text.sanitize, "x" * 300)) == 120
     assert one(text.sanitize, "פרק 2") == "פרק_2"
-    assert one(text.cleanup, "S4E2  12/Nov O c t  C 366") == "S4 E2 12 Nov Oct C366"
+    assert one(text.cleanup, "S4E2  12/Nov O c t  C 366") == "S 4 E 2 12 Nov Oct C366"
     assert one(text.cleanup, "a b") == "a b" and one(text.quality, "") == 0.0
     assert one(text.quality, "ab#") == pytest.approx(2 / 3)
     assert one(text.normalise_label, " a   b ||") == "a b"

@@ -83,7 +83,7 @@ def test_strict_artifacts(spark, tmp_path, rows):
     with pytest.raises(artifacts.ArtifactError, match=r"items\[0\].extra"):
         artifacts.read_artifact(spark, str(bad), schema)
     lines = spark.createDataFrame([('{"ok": true}',), ('{"ok": true, "x": 1}',), ("no",)], "line string")
-    assert rows(artifacts.strict_json(lines, "line", schema).select("violations")) == [([],), (["malformed"],), (["x"],)]
+    assert [r[0] for r in artifacts.strict_json(lines, "line", schema).select("violations").collect()] == [[], ["x"], ["malformed"]]
     assert artifacts.mirror_json(str(tmp_path), str(tmp_path / "m")) == ["bad.json", "good.json", "out/again.json"]
     assert artifacts.inside(str(tmp_path), str(tmp_path / "x")) and not artifacts.inside(str(tmp_path), str(tmp_path / ".." / "x"))
 
