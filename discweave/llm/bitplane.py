@@ -15,21 +15,25 @@ span blocks.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discweave.llm import files
-from discweave.llm.common import WordCache, key_splits, open_fs, shard_of, text_or_empty
+from discweave.llm.common import key_splits, open_fs, shard_of, text_or_empty
 
 MAGIC = b"BPL1"
 TAIL = struct.Struct("<QQ4s")
@@ -130,31 +134,102 @@ def read_file(folder: str, name: str) -> Iterator[tuple[object, np.ndarray]]:
 
 #: A single space between two characters that are not white space: what follows is pre-split
 #: apart from what is before, whatever the texts.
-CUT = re.compile(r"(?<=\S) (?=\S)")
+CUT = re.compile(r" (?<=\S )(?=\S)")
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct piece once or so."""
+    """Ids of whole texts by the tokenizers library.
 
-    def __init__(self, path: str, end_id: int, cache_words: int = 250_000):
-        from tokenizers import Tokenizer
-
-        self.library, self.end = Tokenizer.from_file(path), struct.pack("<I", end_id)
-        self.pieces = WordCache(self._piece, cache_words)
+    Texts are cut into pieces that are encoded alike wherever they stand; the library sees the
+    pieces of a group of texts that are not remembered, strung together in one text, and the
+    ids are dealt back to them by the bytes that each id stands for.
+    """
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def __init__(self, path: str, end_id: int, remembered: int = 450_000):
+        from tokenizers import Tokenizer
 
-    def __call__(self, text: str) -> bytes:
-        first, *rest = CUT.split(text)
-        pieces = self.pieces
-        return pieces[first] + b"".join([pieces[" " + p] for p in rest]) + self.end
+        self.library, self.end, self.limit = Tokenizer.from_file(path), end_id, remembered
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        added = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
+        self.bytes_of = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
+        for name, i in vocabulary.items():
+            self.bytes_of[i] = len(name)  # a character of a byte-level name is a byte
+        for i, n in added.items():
+            self.bytes_of[i] = n
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces that each follow a single space."""
+        found = list(map(self.now.get, pieces))
+        unseen = []
+        for k, f in enumerate(found):
+            if f is None:
+                piece = pieces[k]
+                f = self.old.get(piece)
+                if f is None:
+                    unseen.append(k)
+                else:
+                    self.now[piece] = found[k] = f
+        if unseen:
+            order = [pieces[k] for k in unseen]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(order)], add_special_tokens=False)[0].ids, "<u4")
+            sizes = np.fromiter((len(p.encode()) + 1 for p in order), np.int64, len(order))
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), side="left") + 1
+            data, begin = ids.tobytes(), 0
+            for k, piece, end in zip(unseen, order, (4 * ends).tolist(), strict=True):
+                self.now[piece] = found[k] = data[begin:end]
+                begin = end
+            if begin != len(data):
+                raise ValueError("pieces were not encoded apart from each other")
+        return found
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        if len(self.now) > self.limit:
+            self.old, self.now = self.now, {}
+        cut = [CUT.split(t) for t in texts]
+        firsts = self.library.encode_batch_fast([parts[0] for parts in cut], add_special_tokens=False)
+        words = list(chain.from_iterable(islice(parts, 1, None) for parts in cut))
+        codes, known = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
+        found = self._ids_of(list(known))
+        # the ids of all words in a row: each word's stretch of the distinct words' ids
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        row = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)]
+        stops = np.cumsum([len(parts) - 1 for parts in cut])
+        at = np.concatenate([[0], ends])[stops].tolist()
+        end, before, out = np.array([self.end], "<u4"), 0, []
+        for f, stop in zip(firsts, at, strict=True):
+            out.append(np.concatenate([np.array(f.ids, "<u4"), row[before:stop], end]))
+            before = stop
+        return out
 
 
 @lru_cache(maxsize=4)
 def encoder(path: str, end_id: int) -> Encoder:
-    return Encoder(path, end_id)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    own = Encoder(path, end_id)
+    gc.disable()  # what is remembered holds no cycles
+    return own
+
+
+def in_groups(batches: Iterable[Iterable[tuple]], chars: int = 2_000_000) -> Iterator[list[tuple]]:
+    """Rows as Python values, in groups of about ``chars`` characters of their last column."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for row in batch:
+            held.append(tuple(v.as_py() for v in row))
+            size += len(held[-1][-1])
+            if size >= chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 # --- the operator ------------------------------------------------------------------------------
@@ -182,14 +257,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
             writer.close()
             return pa.RecordBatch.from_pydict({"name": [writer.sink.name], "temporary": [writer.sink.temporary], "shard": pa.array([shard], pa.int32()), "n_docs": [docs_in], "n_ids": [writer.n_ids], "bytes": [writer.sink.size]})
 
-        for batch in batches:
-            for key, text, at in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                if writer is None or at.as_py() != shard:
+        for group in in_groups(zip(b.column(0), b.column(2), b.column(1), strict=True) for b in batches):
+            for (key, at, _), ids in zip(group, encode([g[2] for g in group]), strict=True):
+                if writer is None or at != shard:
                     if writer:
                         yield row()
-                    shard, docs_in = at.as_py(), 0
+                    shard, docs_in = at, 0
                     writer = Writer(files.Sink(folder, f"ids-{shard:06d}.bpl"), block_ids, unit)
-                writer.add(key.as_py(), np.frombuffer(encode(text.as_py()), np.uint32))
+                writer.add(key, ids)
                 docs_in += 1
         if writer:
             yield row()
