@@ -7,7 +7,6 @@ a failure and a timeout into :class:`ToolError`. Pipelines take an object with t
 
 from __future__ import annotations
 
-import re
 import shutil
 import subprocess
 from collections.abc import Iterator
@@ -121,7 +120,3 @@ def cut_commands(slices: list[tuple[str, float, float]], target: str, repair: st
 
 def track_log(media_path: str) -> str:
     return run_tool(["vcd-info", "--no-banner", "-i", media_path]).out
-
-
-def numbers_in(text: str) -> list[int]:
-    return [int(n) for n in re.findall(r"\d+", text)]
