@@ -44,26 +44,22 @@ TAIL = struct.Struct("<QQ4s")
 
 def to_planes(ids: np.ndarray, unit: str = "bit") -> list[bytes]:
     """The planes of a block of 32-bit ids, lowest first, without those that are all zero above."""
-    top = int(ids.max()) if len(ids) else 0
-    parts = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    width = int(ids.max()).bit_length() if len(ids) else 0
+    ids = ids.astype("<u4", copy=False)
     if unit == "byte":
-        return [parts[:, p].tobytes() for p in range((top.bit_length() + 7) // 8)]
-    bits = np.unpackbits(parts[:, : (top.bit_length() + 7) // 8], axis=1, bitorder="little")
-    return [np.packbits(bits[:, p], bitorder="little").tobytes() for p in range(top.bit_length())]
+        return [(ids >> np.uint32(8 * p)).astype(np.uint8).tobytes() for p in range((width + 7) // 8)]
+    return [np.packbits((ids >> np.uint32(p)).astype(np.uint8) & 1, bitorder="little").tobytes() for p in range(width)]
 
 
 def from_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
-    parts = np.zeros((n, 4), np.uint8)
-    if unit == "byte":
-        for p, plane in enumerate(planes):
-            parts[:, p] = np.frombuffer(plane, np.uint8)
-    elif planes:
-        width = (len(planes) + 7) // 8
-        bits = np.zeros((n, 8 * width), np.uint8)
-        for p, plane in enumerate(planes):
-            bits[:, p] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-        parts[:, :width] = np.packbits(bits, axis=1, bitorder="little")
-    return parts.view("<u4").reshape(-1)
+    out = np.zeros(n, "<u4")
+    for p, plane in enumerate(planes):
+        values = np.frombuffer(plane, np.uint8)
+        if unit == "byte":
+            out |= values.astype("<u4") << np.uint32(8 * p)
+        else:
+            out |= np.unpackbits(values, count=n, bitorder="little").astype("<u4") << np.uint32(p)
+    return out
 
 
 class Writer:
