@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import key_splits, shard_of, text_or_empty
+from discweave.llm.common import key_splits, materialize, shard_of, text_or_empty
 
 CLASSES, PERIOD = 128, 1 << 13
 PER_OCTAVE, OCTAVES = 64, 34
@@ -27,6 +27,8 @@ _random = np.random.default_rng(60_013)
 BITS = _random.integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
 BITS[:, -1] = 1  # no walk stays at a character for ever
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
+#: What one task of the pair search compares: so many fingerprints at most, or else blocks of these.
+TASK_PRINTS = 500
 
 
 def dwell_table() -> np.ndarray:
@@ -126,6 +128,11 @@ def as_text(found: np.ndarray) -> str:
     return HEX[found].tobytes().decode()
 
 
+def as_digits(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode(), np.uint8)
+    return codes - np.where(codes < 58, 48, 87).astype(np.uint8)
+
+
 def fingerprints_of(texts: list[str]) -> list[np.ndarray]:
     codes = [code_points(t) for t in texts]
     return [digits(c, s) for c, s in zip(codes, walk(codes, [0] * len(codes)), strict=True)]
@@ -160,27 +167,91 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, threshold: float = 0.8, band: int = 8) -> DataFrame:
-    """(doc_id, head, likeness) of fingerprints that agree with the smallest document of a bucket.
+def near_rows(prints: list[list[np.ndarray]], threshold: float, side: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
+    """Every two positions, of different sides if given, whose best likeness is ``threshold`` or more.
+
+    A row of ``prints`` has a fingerprint for each walk. A pair whose 32 heaviest digits disagree
+    more than the threshold allows is settled by these.
+    """
+    total = np.concatenate([[0.0], np.cumsum(WEIGHTS)])
+    lost = 1 - (threshold * 15 / 16 + 1 / 16)
+    tables = []
+    for found in zip(*prints, strict=True):
+        sizes = np.array([len(f) for f in found])
+        table = np.full((len(found), sizes.max()), 255, np.uint8)
+        for row, f in zip(table, found, strict=True):
+            row[: len(f)] = f
+        tables.append((table, sizes))
+    sides = None if side is None else np.array(side)
+    for i in range(len(prints) - 1):
+        others = np.arange(i + 1, len(prints))
+        if sides is not None:
+            others = others[sides[others] != sides[i]]
+        best = np.zeros(len(others))
+        for table, sizes in tables:
+            own = sizes[i]
+            low, weights = max(0, own - 32), WEIGHTS[:own]
+            whole = total[np.maximum(own, sizes[others])]
+            apart = (table[others, low:own] != table[i, low:own]) @ weights[low:]
+            at = np.flatnonzero(apart <= lost * whole + 1e-9 * whole)
+            if len(at):
+                same = ((table[others[at], :own] == table[i, :own]) @ weights) / np.maximum(whole[at], 1)
+                value = np.where((same == 1) | (whole[at] == 0), 1.0, np.maximum(0.0, (same - 1 / 16) * 16 / 15))
+                best[at] = np.maximum(best[at], value)
+        for k in np.flatnonzero(best >= threshold):
+            yield i, int(others[k]), float(best[k])
 
-    A bucket holds the documents with the same ``band`` digits at the same place; each member is
-    verified against the bucket's head, so a bucket of any size gives a row per member at most.
-    Fingerprints shorter than a band meet nothing.
+
+def near_pairs(prints: DataFrame, threshold: float = 0.8, band: int = 8) -> DataFrame:
+    """(doc_id, head, likeness) of every two documents that share a bucket and are alike by
+    ``threshold`` or more; head is the smaller one.
+
+    A bucket holds the fingerprints with the same ``band`` digits at the same place, and all of
+    its members are compared with each other; buckets with the same members are one. A bucket
+    over ``TASK_PRINTS`` is dealt into blocks, every two of which are one task's. Documents with
+    equal fingerprints are one member there and pairs of likeness 1, however short; unlike ones
+    shorter than a band meet nothing. A group of m alike gives m * (m - 1) / 2 rows. Rows without
+    identifier are left out, and a document makes no pair with itself.
     """
-    known = prints.select("doc_id", "fingerprint").where(F.length("fingerprint") >= band)
-    places = F.sequence(F.lit(0), F.floor(F.length("fingerprint") / band).cast("int") - 1)
-    cut = known.select("doc_id", F.posexplode(F.transform(places, lambda k: F.substring("fingerprint", k * band + 1, F.lit(band)))).alias("place", "part"))
-    heads = cut.groupBy("place", "part").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = cut.join(heads, ["place", "part"]).where("doc_id <> head").select("doc_id", "head").distinct()
-    both = pairs.join(known, "doc_id").join(known.select(F.col("doc_id").alias("head"), F.col("fingerprint").alias("other")), "head")
-
-    @F.arrow_udf("double")
-    def like(a: pa.Array, b: pa.Array) -> pa.Array:
-        value = lambda s: np.frombuffer(bytes.fromhex(s + "0" * (len(s) % 2)), np.uint8)
-        nibbles = lambda s: np.column_stack([value(s) >> 4, value(s) & 15]).reshape(-1)[: len(s)]
-        return pa.array([likeness(nibbles(x), nibbles(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-    return both.select("doc_id", "head", like("fingerprint", "other").alias("likeness")).where(F.col("likeness") >= threshold)
+    known = prints.where("doc_id IS NOT NULL").select("doc_id", F.array("fingerprint").alias("walks"))
+    known = materialize(known.withColumn("set", F.xxhash64(F.concat_ws(" ", "walks"))), "edit-prints")
+    classes = materialize(known.groupBy("set").agg(F.any_value("walks").alias("walks")), "edit-classes")
+    own, other = known.select("set", "doc_id").distinct(), known.select("set", F.col("doc_id").alias("head")).distinct()
+    copies = own.join(other, "set").where("doc_id > head").select("doc_id", "head", F.lit(1.0).alias("likeness"))
+
+    of_walk = classes.select("set", F.posexplode("walks").alias("walk", "print")).where(F.length("print") >= band)
+    places = F.sequence(F.lit(0), F.floor(F.length("print") / band).cast("int") - 1)
+    cut = of_walk.select("set", "walk", F.posexplode(F.transform(places, lambda k: F.substring("print", k * band + 1, F.lit(band)))).alias("place", "part"))
+    members = cut.select("set", F.xxhash64("walk", "place", "part").alias("bucket")).distinct()
+    held = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("set").alias("x"), F.bit_xor(F.xxhash64("set")).alias("y")).where("n > 1")
+    apart = held.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / TASK_PRINTS).cast("int").alias("blocks"))
+    placed = members.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("a"), F.greatest(k, F.col("block")).alias("b")))
+    dealt = placed.select("set", "bucket", "block", F.explode(tasks).alias("task")).select("bucket", "task.a", "task.b", "block", "set").join(classes.select("set", "walks"), "set")
+    dealt = dealt.select("bucket", "a", "b", "block", "set", "walks").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "set")
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        side = [r[0] for r in rows]
+        found = list(near_rows([[as_digits(t) for t in r[2]] for r in rows], threshold, side if len(set(side)) > 1 else None))
+        columns = [[rows[i][1] for i, _, _ in found], [rows[j][1] for _, j, _ in found], [v for *_, v in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["u", "v", "likeness"])
+
+    def run(batches):
+        task, rows = None, []
+        for batch in batches:
+            for bucket, a, b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, a, b) != task:
+                    if len(rows) > 1:
+                        yield settle(rows)
+                    task, rows = (bucket, a, b), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield settle(rows)
+
+    found = dealt.mapInArrow(run, "u long, v long, likeness double").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("likeness").alias("likeness"))
+    pairs = found.join(own.withColumnsRenamed({"set": "u", "doc_id": "a"}), "u").join(other.withColumnsRenamed({"set": "v", "head": "b"}), "v").where("a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("doc_id"), F.least("a", "b").alias("head"), "likeness")
+    return pairs.unionByName(copies).groupBy("doc_id", "head").agg(F.max("likeness").alias("likeness"))
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:

@@ -134,6 +134,20 @@ def test_fingerprints_tell_edits_from_others(docs):
     assert pairs <= {(2 * i + 1, 2 * i) for i in range(30)} and len(pairs) >= 24
 
 
+def test_every_two_members_of_a_bucket_are_compared(docs, monkeypatch):
+    rng = random.Random(7)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    opening, body = line(40), line(1500)
+    data = [(1, opening + line(1500)), (2, opening + body), (3, opening + body[:-9] + "xyz"), (4, opening + body[:-7] + "uvw")]
+    data += [(10, "a"), (11, "a"), (12, "b"), (20, ""), (21, None), (30, "x"), (30, "y"), (None, "a")]
+    for most in (editembed.TASK_PRINTS, 1):  # in one task, and in blocks
+        monkeypatch.setattr(editembed, "TASK_PRINTS", most)
+        got = {(r.doc_id, r.head): r.likeness for r in editembed.near_pairs(editembed.fingerprint(docs(data))).collect()}
+        assert set(got) == {(3, 2), (4, 2), (4, 3), (11, 10), (21, 20)}
+        a, b = editembed.fingerprints_of([data[1][1], data[2][1]])
+        assert got[3, 2] == editembed.likeness(a, b) and got[11, 10] == got[21, 20] == 1.0
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 TOKENS = {"a": 800, "b": 150, "c": 50}
