@@ -6,7 +6,8 @@ two texts at a small edit distance fall into step again after each difference, s
 distance of texts becomes the Hamming distance of walks. A fingerprint samples the walk: a hex
 digit, hashed from step and character, at each of a shared list of steps that holds all of the
 first 64 and 64 of every octave after them. Runs of eight digits are the bands that candidates
-are found by; weighted agreement of all digits verifies them.
+are found by; weighted agreement of all digits verifies them. How soon walks fall into step again
+is chance, so the search for pairs has ``WALKS`` of them, each begun at another step of the table.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from discweave.llm.common import key_splits, materialize, shard_of, text_or_empt
 
 CLASSES, PERIOD = 128, 1 << 13
 PER_OCTAVE, OCTAVES = 64, 34
+WALKS = 8
 _random = np.random.default_rng(60_013)
 BITS = _random.integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
 BITS[:, -1] = 1  # no walk stays at a character for ever
@@ -133,9 +135,10 @@ def as_digits(text: str) -> np.ndarray:
     return codes - np.where(codes < 58, 48, 87).astype(np.uint8)
 
 
-def fingerprints_of(texts: list[str]) -> list[np.ndarray]:
-    codes = [code_points(t) for t in texts]
-    return [digits(c, s) for c, s in zip(codes, walk(codes, [0] * len(codes)), strict=True)]
+def fingerprints_of(texts: list[str], number: int = 0) -> list[np.ndarray]:
+    """The fingerprints by walk ``number``."""
+    codes, start = [code_points(t) for t in texts], number * PERIOD // WALKS
+    return [digits(c, s - start) for c, s in zip(codes, walk(codes, [start] * len(codes)), strict=True)]
 
 
 def in_blocks(rows: Iterator[tuple], chars: int = 2_000_000, most: int = 2000) -> Iterator[list[tuple]]:
@@ -153,18 +156,20 @@ def in_blocks(rows: Iterator[tuple], chars: int = 2_000_000, most: int = 2000) -
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, fingerprint of every whole text; a null text is empty, and an empty one
-    has the empty fingerprint. Equal texts have equal fingerprints. A row gives a row."""
+    """doc_id, n_chars, fingerprint (of the first walk), others (of the other walks) of every whole
+    text; a null text is empty, and an empty one has empty fingerprints. Equal texts have equal
+    fingerprints. A row gives a row."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for block in in_blocks(rows):
-                found = fingerprints_of([t for _, t in block])
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array([len(t) for _, t in block], pa.int64()), pa.array(map(as_text, found), pa.string())], names=["doc_id", "n_chars", "fingerprint"])
+                first, *others = ([as_text(f) for f in fingerprints_of([t for _, t in block], k)] for k in range(WALKS))
+                columns = [pa.array([k for k, _ in block], batch.schema.field(0).type), pa.array([len(t) for _, t in block], pa.int64()), pa.array(first, pa.string()), pa.array(list(map(list, zip(*others, strict=True))), pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "fingerprint", "others"])
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_chars long, fingerprint string, others array<string>")
 
 
 def near_rows(prints: list[list[np.ndarray]], threshold: float, side: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
@@ -204,16 +209,16 @@ def near_rows(prints: list[list[np.ndarray]], threshold: float, side: list[int]
 
 def near_pairs(prints: DataFrame, threshold: float = 0.8, band: int = 8) -> DataFrame:
     """(doc_id, head, likeness) of every two documents that share a bucket and are alike by
-    ``threshold`` or more; head is the smaller one.
+    ``threshold`` or more in some walk; head is the smaller one, likeness that of the best walk.
 
-    A bucket holds the fingerprints with the same ``band`` digits at the same place, and all of
+    A bucket holds the fingerprints with the same ``band`` digits at the same place of a walk, and all of
     its members are compared with each other; buckets with the same members are one. A bucket
     over ``TASK_PRINTS`` is dealt into blocks, every two of which are one task's. Documents with
     equal fingerprints are one member there and pairs of likeness 1, however short; unlike ones
     shorter than a band meet nothing. A group of m alike gives m * (m - 1) / 2 rows. Rows without
     identifier are left out, and a document makes no pair with itself.
     """
-    known = prints.where("doc_id IS NOT NULL").select("doc_id", F.array("fingerprint").alias("walks"))
+    known = prints.where("doc_id IS NOT NULL").select("doc_id", F.concat(F.array("fingerprint"), "others").alias("walks"))
     known = materialize(known.withColumn("set", F.xxhash64(F.concat_ws(" ", "walks"))), "edit-prints")
     classes = materialize(known.groupBy("set").agg(F.any_value("walks").alias("walks")), "edit-classes")
     own, other = known.select("set", "doc_id").distinct(), known.select("set", F.col("doc_id").alias("head")).distinct()

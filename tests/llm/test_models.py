@@ -144,8 +144,19 @@ def test_every_two_members_of_a_bucket_are_compared(docs, monkeypatch):
         monkeypatch.setattr(editembed, "TASK_PRINTS", most)
         got = {(r.doc_id, r.head): r.likeness for r in editembed.near_pairs(editembed.fingerprint(docs(data))).collect()}
         assert set(got) == {(3, 2), (4, 2), (4, 3), (11, 10), (21, 20)}
-        a, b = editembed.fingerprints_of([data[1][1], data[2][1]])
-        assert got[3, 2] == editembed.likeness(a, b) and got[11, 10] == got[21, 20] == 1.0
+        best = max(editembed.likeness(*editembed.fingerprints_of([data[1][1], data[2][1]], k)) for k in range(editembed.WALKS))
+        assert got[3, 2] == best and got[11, 10] == got[21, 20] == 1.0
+
+
+def test_every_copy_with_one_edit_is_found(docs):
+    rng = random.Random(6)
+    data = []
+    for i in range(30):
+        text = "".join(rng.choice("abcdefghij ") for _ in range(1500))
+        spot = rng.randint(0, 1400)
+        data += [(2 * i, text), (2 * i + 1, text[:spot] + "xyz" + text[spot + 5 :])]
+    pairs = {(r.doc_id, r.head) for r in editembed.near_pairs(editembed.fingerprint(docs(data))).collect()}
+    assert pairs == {(2 * i + 1, 2 * i) for i in range(30)}
 
 
 # --- mixing --------------------------------------------------------------------------------------
