@@ -117,3 +117,11 @@ def test_fill_missing(spark, rows):
 def test_best_candidate_leans_to_its_family(spark, rows):
     df = spark.createDataFrame([(1, "primary", "abcd", 0.905, 0), (1, "spu_a", "abc", 0.90, 1), (1, "hue", "zzzz", 1.0, 2), (2, "primary", "abcdef", 0.9, 0), (2, "spu_a", "abc", 0.9, 1)], "k int, name string, t string, q double, pos int")
     assert rows(rel.best_candidate(df, "k", "name", "t", "q", "pos").select("k", "name")) == [(1, "spu_a"), (2, "primary")]
+
+
+def test_fill_missing_bands_reads_every_part(spark):
+    from discweave.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["fill_missing_bands"](spark, sf)
+    assert got.where("not made").count() == spark.read.parquet(f"{sf}/part.parquet").count() and not got.where("made").isEmpty()
