@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discweave.llm.common import materialize, text_or_empty
 from discweave.llm.language import crc_class
+from discweave.llm.minhash import near_duplicates
 
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
 LOOKALIKES = {
@@ -157,7 +157,8 @@ def fit_curve(points: np.ndarray, labels: np.ndarray, penalty: float = 0.5, roun
 def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 3000, most_clean: int = 9000) -> Lexicon:
     """Fit on a bounded sample of the labelled rows that ``rows`` (over the labels' ``doc_id``)
     admits: about ``most_toxic`` and ``most_clean`` documents, those whose hashed id is lowest.
-    A document that has both labels counts as toxic; near copies within the sample count once."""
+    A document that has both labels counts as toxic; near copies of one
+    label within the sample (those that ``minhash.near_duplicates`` connects) count once."""
     known = labels.where(F.coalesce(rows, F.lit(False)) & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) >= 1).cast("int").alias("label"))
     known = known.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(1 << 20)))
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -165,11 +166,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc
     sample = known.where(F.col("at") < limit).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def sketch(batches):
+    def folding(batches):
         for batch in batches:
-            folded = [fold(t) for t in batch.column(1).to_pylist()]
-            marks = [min((hash_of(w) for w in set(t.split())), default=0) for t in folded]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.string()), pa.array(marks, pa.int64())], names=["label", "text", "mark"])
+            folded = [fold(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(folded, pa.string())], names=["row", "label", "text"])
 
     def count(batches):
         for batch in batches:
@@ -179,8 +179,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc
                 seen["", label] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["feature", "label", "n"])
 
-    folded = texts.select("label", "text").mapInArrow(sketch, "label int, text string, mark long")
-    apart = folded.groupBy("label", "mark").agg(F.min("text").alias("text")).select("label", "text")
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "label", "text")
+    folded = materialize(numbered.mapInArrow(folding, "row long, label int, text string"), "toxicity-folded")
+    groups = near_duplicates(folded, "row", "text").select(F.col("doc_id").alias("row"), "component_id")
+    apart = folded.join(groups, "row").groupBy("label", "component_id").agg(F.min("text").alias("text")).select("label", "text")
     apart = materialize(apart, "toxicity-sample")
     counted = apart.mapInArrow(count, "feature string, label int, n long").groupBy("feature").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
     rows_of = counted.where((F.col("feature") == "") | (F.col("t") >= 4) & (F.col("t") * 2 > F.col("c"))).toArrow().to_pylist()
@@ -200,10 +202,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: F.Column, id_col: str = "doc
     return lexicon
 
 
-def hash_of(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) >> 1
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted of every whole text.
 

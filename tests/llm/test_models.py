@@ -159,6 +159,17 @@ def test_every_copy_with_one_edit_is_found(docs):
     assert pairs == {(2 * i + 1, 2 * i) for i in range(30)}
 
 
+def test_only_near_copies_count_once_in_training(spark, docs, monkeypatch):
+    long = " ".join(f"word{a}{b}" for a in "abcdef" for b in "abcdefghij")
+    texts = [" ".join(["shared words of all"] * 3 + ["part" + "abc"[i // 10], "more" + "abcdefghij"[i % 10], "vile"] * 3) for i in range(30)]
+    texts += [" ".join(["shared words of all"] * 3 + ["other" + "abc"[i // 10], "less" + "abcdefghij"[i % 10], "fine"] * 3) for i in range(30)] + [f"{long} {'abcdefghijklmnopqrst'[i] * 4}" for i in range(20)]
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(80)], "doc_id long, toxic int")
+    seen, select = [], toxicity.select
+    monkeypatch.setattr(toxicity, "select", lambda t, c, a, b: seen.append((a, b)) or select(t, c, a, b))
+    lexicon = toxicity.learn(docs(list(enumerate(texts))), labels, F.lit(True))
+    assert seen == [(30, 31)] and lexicon.weights  # the 20 near copies are one text
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 TOKENS = {"a": 800, "b": 150, "c": 50}
