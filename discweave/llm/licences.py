@@ -114,7 +114,7 @@ class Scanner:
 
     def sentences(self, text: str) -> list[str]:
         """Identifiers of the known sentences in order, None for a stretch of others."""
-        pieces = [words(p) for p in BREAK.split(text)]
+        pieces = [w for p in BREAK.split(text) if (w := words(p))]
         found: list = []
         k = 0
         while k < len(pieces):
@@ -127,13 +127,11 @@ class Scanner:
                 at += 1
                 if node is not None and "" in node:
                     best, end = node[""], at
-                if at - k > 60:
-                    break
             if best is not None:
                 found.append(best)
                 k = end
             else:
-                if pieces[k] and (not found or found[-1] is not None):
+                if not found or found[-1] is not None:
                     found.append(None)
                 k += 1
         return found

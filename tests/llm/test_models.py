@@ -233,6 +233,12 @@ def test_licence_rules(docs):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "CC-BY-NC-4.0", 4: "MIT;Apache-2.0", 5: "", 6: "", 7: "GPL-3.0", 8: "", 9: ""}
 
 
+def test_licences_with_a_word_to_a_line(docs):
+    mit = "\n".join(licences.SENTENCES[k] for k in ("mit-grant", "mit-notice", "as-is-software"))
+    data = [(1, "\n".join(mit.split())), (2, "\n# \n".join(mit.split())), (3, mit), (4, "\n#" * 100_000)]
+    assert {r.doc_id: r.licences for r in licences.scan_licences(docs(data)).collect()} == {1: "MIT", 2: "MIT", 3: "MIT", 4: ""}
+
+
 def test_licences_of_a_whole_table_by_brute_force(spark, odd):
     import re
 
