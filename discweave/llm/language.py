@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from discweave.llm.common import text_or_empty
 
@@ -197,10 +197,22 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return identify(docs, model, F.col(id_col).alias("doc_id"), held_out.alias("held_out"), text_col=text_col)
 
 
+@F.arrow_udf(BooleanType())
+def has_letter(texts: pa.Array) -> pa.Array:
+    return pa.array([any(map(str.isalpha, t)) for t in texts.to_pylist()], pa.bool_())
+
+
 def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text has a letter and a language that
-    scores ``least`` or more."""
+    scores ``least`` or more.
+
+    Where no language could be learned (``lang_col`` null throughout or known of held-out rows
+    only) every row whose text has a letter stays. A text whose words are equally known in three
+    or more languages scores 1/3 at most and goes, which befalls short ones.
+    """
     model = learn(docs, crc_class(id_col, 4) != 2, text_col, lang_col, id_col)
+    if not model.languages:
+        return docs.where(has_letter(text_or_empty(text_col)))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     found = identify(packed, model, F.col("row"), text_col="text")
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")

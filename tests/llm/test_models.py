@@ -275,6 +275,14 @@ def test_pipeline_stages(spark, docs):
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "minhash_dedup", "mixing", "bpe"]
 
 
+def test_pipeline_keeps_texts_where_no_language_was_learned(docs):
+    data = [(i, t, None) for i, t in enumerate(["plain words", "été", "123", "", None, "日本語"])]
+    kept = language.keep_identified(docs(data))
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 5} and kept.columns == docs(data).columns
+    tied = docs([(i, "same words here", lang) for i, lang in enumerate(["de", "en", "fr"] * 60)])
+    assert language.keep_identified(tied).count() == 0
+
+
 def test_pipeline_of_nothing(spark, docs):
     import corpus_pipeline as cp
 
