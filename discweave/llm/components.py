@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import delete, scratch
+from discweave.llm.common import Workspace
 
 
-def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge, component being the smallest node it reaches.
 
     ``edges`` has columns u and v of one ordered type; loops, repeated edges and null ends are
     dropped. Each round is one plan written to the shared folder: large-star hangs a node's
     larger neighbours on its smallest one, small-star the smaller ones. A table that a round
-    leaves as it was is a set of stars. A node with many neighbours costs rows, never memory.
-    No edges give no rows.
+    leaves as it was is a set of stars, and rounds go on until then. A node with many neighbours
+    costs rows, never memory. No edges give no rows.
     """
     spark = edges.sparkSession
-    path = scratch(spark, "components")
+    work = Workspace(spark, "components")
 
     def written(df: DataFrame, n: int) -> tuple[DataFrame, tuple]:
-        df.write.option("compression", "zstd").parquet(f"{path}/{n}")
-        back = spark.read.schema(df.schema).parquet(f"{path}/{n}")
+        back = work.put(df, str(n))
         return back, tuple(back.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     def hung(df: DataFrame) -> DataFrame:
@@ -32,19 +31,14 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     pairs = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen = written(pairs, 0)
-    for n in range(1, most_rounds):
-        if not seen[0]:
-            break
+    before, n = None, 0
+    while seen[0] and seen != before:
+        n += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = hung(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after, mark = written(small, n)
-        if n > 1:
-            delete(spark, f"{path}/{n - 2}")
-        now, before, seen = after, seen, mark
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        before = seen
+        now, seen = written(small, n)
+        work.drop(str(n - 1))
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select("component").distinct().select(F.col("component").alias("node"), "component"))
