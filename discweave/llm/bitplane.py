@@ -15,25 +15,23 @@ span blocks.
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discweave.llm import files
-from discweave.llm.common import key_splits, open_fs, shard_of, text_or_empty
+from discweave.llm.common import open_fs, plan_shards, row_salt, shard_of, text_or_empty
+from discweave.llm.words import dealt, row_groups
 
 MAGIC = b"BPL1"
 TAIL = struct.Struct("<QQ4s")
@@ -128,23 +126,28 @@ def read_file(folder: str, name: str) -> Iterator[tuple[object, np.ndarray]]:
 
 # --- encoding ----------------------------------------------------------------------------------
 
-#: A single space between two characters that are not white space: what follows is pre-split
-#: apart from what is before, whatever the texts.
-CUT = re.compile(r" (?<=\S )(?=\S)")
+
+#: Bytes that are white space to Python, to the library, or to both; and ASCII letters.
+SPACES, LETTERS = np.zeros(256, bool), np.zeros(256, bool)
+SPACES[[*range(9, 14), *range(28, 33)]] = True
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+#: Closing marks: after a letter and before the end of a piece each is pre-split alone.
+CLOSING = ",.;:!?"
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Texts are cut into pieces that are encoded alike wherever they stand; the library sees the
-    pieces of a group of texts that are not remembered, strung together in one text, and the
-    ids are dealt back to them by the bytes that each id stands for.
+    A text is cut before every single space or line feed between two characters that are not white
+    space; what follows such a cut is pre-split apart from what is before it, whatever the texts,
+    and so encoded alike wherever it stands. So is a closing mark at the end of a word. Each
+    distinct piece of a group of texts is encoded once.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 450_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library, self.end, self.limit = Tokenizer.from_file(path), end_id, remembered
+        self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         added = {i: len(t.content.encode()) for i, t in self.library.get_added_tokens_decoder().items()}
         self.bytes_of = np.zeros(max([*vocabulary.values(), *added]) + 1, np.int64)
@@ -152,80 +155,124 @@ class Encoder:
             self.bytes_of[i] = len(name)  # a character of a byte-level name is a byte
         for i, n in added.items():
             self.bytes_of[i] = n
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces that each follow a single space."""
-        found = list(map(self.now.get, pieces))
-        unseen = []
-        for k, f in enumerate(found):
-            if f is None:
-                piece = pieces[k]
-                f = self.old.get(piece)
-                if f is None:
-                    unseen.append(k)
-                else:
-                    self.now[piece] = found[k] = f
+        self.closing = self._library(list(CLOSING))
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is remembered of pieces."""
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after(self, before: str, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces and the space or line feed ``before`` each of them.
+
+        The library sees many unknown ones in one text; its ids are dealt back to them by the bytes
+        that each id stands for.
+        """
+        known = self.known[before]
+        found = list(map(known.get, pieces))
+        unseen = [k for k, f in enumerate(found) if f is None]
         if unseen:
-            order = [pieces[k] for k in unseen]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(order)], add_special_tokens=False)[0].ids, "<u4")
-            sizes = np.fromiter((len(p.encode()) + 1 for p in order), np.int64, len(order))
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), side="left") + 1
-            data, begin = ids.tobytes(), 0
-            for k, piece, end in zip(unseen, order, (4 * ends).tolist(), strict=True):
-                self.now[piece] = found[k] = data[begin:end]
-                begin = end
-            if begin != len(data):
+            names = [pieces[k] for k in unseen]
+            data = b"".join(self._library([before + before.join(names[at : at + 128]) for at in range(0, len(names), 128)]))
+            sizes = pc.binary_length(pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            ends = 4 * (np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(data, "<u4")]), np.cumsum(sizes), side="left") + 1)
+            if ends[-1] != len(data):
                 raise ValueError("pieces were not encoded apart from each other")
+            if len(known) + len(names) > REMEMBERED:
+                known.clear()
+            begin, longest = 0, int(sizes.max())
+            for k, name, end in zip(unseen, names, ends.tolist(), strict=True):
+                found[k] = ids = data[begin:end]
+                begin = end
+                if longest <= 200 or len(name) <= 200:
+                    known[name] = ids
         return found
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
-        if len(self.now) > self.limit:
-            self.old, self.now = self.now, {}
-        cut = [CUT.split(t) for t in texts]
-        firsts = self.library.encode_batch_fast([parts[0] for parts in cut], add_special_tokens=False)
-        words = list(chain.from_iterable(islice(parts, 1, None) for parts in cut))
-        codes, known = pd.factorize(np.array(words, dtype=object)) if words else (np.zeros(0, np.int64), [])
-        found = self._ids_of(list(known))
-        # the ids of all words in a row: each word's stretch of the distinct words' ids
-        ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begins = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        row = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[codes] - (ends - each), each)]
-        stops = np.cumsum([len(parts) - 1 for parts in cut])
-        at = np.concatenate([[0], ends])[stops].tolist()
-        end, before, out = np.array([self.end], "<u4"), 0, []
-        for f, stop in zip(firsts, at, strict=True):
-            out.append(np.concatenate([np.array(f.ids, "<u4"), row[before:stop], end]))
-            before = stop
-        return out
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str, end_id: int) -> Encoder:
+    def __call__(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of texts (none null) in a row, and the number of ids up to the end of each."""
+        lines = pc.split_pattern(texts, "\n")
+        line_ends = lines.offsets.to_numpy().astype(np.int64)
+        parts = pc.split_pattern(lines.flatten(), " ")
+        part_ends = parts.offsets.to_numpy().astype(np.int64)
+        found = parts.flatten().dictionary_encode()
+        codes, spelled = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+        n = len(codes)
+        starts = (part_ends - part_ends[0])[line_ends - line_ends[0]]  # of the texts' parts, and n
+        before = np.full(n, 2, np.int8)  # a space, 1 a line feed, 0 nothing
+        before[part_ends[:-1] - part_ends[0]] = 1
+        before[starts[:-1]] = 0
+        # a part is joined to the one before where what is between them is no cut
+        size = pc.binary_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, first = np.frombuffer(spelled.buffers()[2] or b"\0", np.uint8), np.cumsum(size) - size
+        opening, closing = np.zeros(len(size), np.uint8), np.zeros(len(size), np.uint8)
+        full = size > 0
+        opening[full], closing[full] = data[first[full]], data[first[full] + size[full] - 1]
+        bad_start, bad_end = SPACES[opening] | ~full, SPACES[closing] | ~full
+        for k in np.flatnonzero((opening >= 128) | (closing >= 128)).tolist():
+            name = spelled[k].as_py()
+            bad_start[k], bad_end[k] = name[0].isspace(), name[-1].isspace()
+        joined = bad_start[codes]
+        joined[1:] |= bad_end[codes[:-1]]
+        joined[before == 0] = False
+        heads = np.flatnonzero(~joined)  # the first part of every piece
+        sizes = np.diff(np.concatenate([heads, [n]]))
+        plain = (sizes == 1) & (before[heads] > 0)
+        # single parts: the word and, if one closes it, the mark
+        mark = np.full(len(size), -1, np.int64)
+        long = size > 1
+        letter = np.zeros(len(size), bool)
+        letter[long] = LETTERS[data[first[long] + size[long] - 2]]
+        for k, c in enumerate(CLOSING):
+            mark[letter & (closing == ord(c))] = k
+        marked = mark >= 0
+        stems = np.zeros(len(size), np.int64)
+        names = pa.concat_arrays([spelled.filter(pa.array(~marked)), pc.binary_slice(spelled.filter(pa.array(marked)).cast(pa.binary()), 0, -1).cast(pa.string())]).dictionary_encode()
+        stems[np.concatenate([np.flatnonzero(~marked), np.flatnonzero(marked)])] = names.indices.to_numpy(zero_copy_only=False)
+        names = names.dictionary.to_pylist()
+        own = codes[heads]
+        table: list[bytes] = list(self.closing)
+        code = np.zeros(len(heads), np.int64)
+        for value, text in ((1, "\n"), (2, " ")):
+            here = plain & (before[heads] == value)
+            wanted = np.flatnonzero(np.bincount(stems[own[here]], minlength=len(names)))
+            place = np.zeros(len(names), np.int64)
+            place[wanted] = len(table) + np.arange(len(wanted))
+            code[here] = place[stems[own[here]]]
+            table += self._after(text, [names[k] for k in wanted.tolist()])
+        other = np.flatnonzero(~plain)
+        longer = []
+        for h, k in zip(heads[other].tolist(), sizes[other].tolist(), strict=True):
+            pieces = []
+            for gap, c in zip(before[h : h + k].tolist(), codes[h : h + k].tolist(), strict=True):
+                pieces += [("", "\n", " ")[gap], spelled[c].as_py()]
+            longer.append("".join(pieces))
+        code[other] = len(table) + np.arange(len(other))
+        for at in range(0, len(longer), 1000):
+            table += self._library(longer[at : at + 1000])
+        # a marked word is two codes
+        closed = plain & marked[own]
+        place = np.arange(len(heads)) + np.concatenate([[0], np.cumsum(closed)[:-1]])
+        row = np.zeros(len(heads) + int(closed.sum()), np.int64)
+        row[place] = code
+        row[place[closed] + 1] = mark[own[closed]]
+        out, upto = dealt(table, row)
+        until = np.concatenate([place, [len(row)]])[np.searchsorted(heads, starts[1:])]
+        return out, np.concatenate([[0], upto // 4])[until]
+
+
+#: Pieces that a task remembers after either separator, of up to 200 characters each; they are
+#: dropped with the task.
+REMEMBERED = 400_000
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The library's tokenizer, some ten MB, which a worker keeps."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    own = Encoder(path, end_id)
-    gc.disable()  # what is remembered holds no cycles
-    return own
-
-
-def in_groups(batches: Iterable[Iterable[tuple]], chars: int = 2_000_000) -> Iterator[list[tuple]]:
-    """Rows as Python values, in groups of about ``chars`` characters of their last column."""
-    held: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in batch:
-            held.append(tuple(v.as_py() for v in row))
-            size += len(held[-1][-1])
-            if size >= chars:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    return Encoder(path)
 
 
 # --- the operator ------------------------------------------------------------------------------
@@ -236,16 +283,19 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
 
     Shards are ranges of ids with about ``shard_bytes`` of text, found from the data alone, so
     the same table gives the same files; each is one file. Null texts are empty: just the end
-    id. Null ids come last; rows that share an id are ordered by their text. Other columns are
-    not read. An empty table gives an empty manifest. Returns the manifest's entries, with the
-    number of ids before each file (``start``).
+    id. Null ids come last; rows that share an id are ordered by a hash of their text and may
+    lie in several shards. (Rows alike in id and text that fill more than half a shard are dealt
+    to shards by their place in the input, so a table stored otherwise may part them elsewhere;
+    the order of all ids is the same.) Other columns are not read. An empty table gives an empty
+    manifest. Returns the manifest's entries, with the number of ids before each file (``start``).
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    splits = key_splits(own, "id", F.octet_length("text"), shard_bytes)
-    dealt = own.withColumn("shard", shard_of("id", splits)).repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "text")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    shards = plan_shards(own, "id", F.octet_length("text"), shard_bytes, F.col("tie"), salted=True)
+    dealt_out = own.select("id", "text", shard_of(shards, F.col("id"), F.col("tie"), row_salt()).alias("shard"), "tie")
+    dealt_out = dealt_out.repartitionById(len(shards), F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "tie", "text")
 
     def write(batches):
-        encode = encoder(tokenizer, end_id)
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
         writer = None
         shard = docs_in = 0
 
@@ -253,19 +303,26 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
             writer.close()
             return pa.RecordBatch.from_pydict({"name": [writer.sink.name], "temporary": [writer.sink.temporary], "shard": pa.array([shard], pa.int32()), "n_docs": [docs_in], "n_ids": [writer.n_ids], "bytes": [writer.sink.size]})
 
-        for group in in_groups(zip(b.column(0), b.column(2), b.column(1), strict=True) for b in batches):
-            for (key, at, _), ids in zip(group, encode([g[2] for g in group]), strict=True):
-                if writer is None or at != shard:
-                    if writer:
-                        yield row()
-                    shard, docs_in = at, 0
-                    writer = Writer(files.Sink(folder, f"ids-{shard:06d}.bpl"), block_ids, unit)
-                writer.add(key, ids)
-                docs_in += 1
-        if writer:
-            yield row()
-
-    written = dealt.mapInArrow(write, "name string, temporary string, shard int, n_docs long, n_ids long, bytes long")
+        try:
+            for batch in batches:
+                for a, b in row_groups(batch.column(1)):
+                    data, ends = encode(batch.column(1)[a:b])
+                    ids, before = np.frombuffer(data, "<u4"), 0
+                    for key, at, upto in zip(batch.column(0)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist(), ends.tolist(), strict=True):
+                        if writer is None or at != shard:
+                            if writer:
+                                yield row()
+                            shard, docs_in = at, 0
+                            writer = Writer(files.Sink(folder, f"ids-{shard:06d}.bpl"), block_ids, unit)
+                        writer.add(key, np.concatenate([ids[before:upto], end]))
+                        before = upto
+                        docs_in += 1
+            if writer:
+                yield row()
+        finally:
+            encode.forget()
+
+    written = dealt_out.mapInArrow(write, "name string, temporary string, shard int, n_docs long, n_ids long, bytes long")
     start = 0
     entries = files.commit(written, folder, ["shard"])
     for entry in entries:
