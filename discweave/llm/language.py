@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from discweave.llm.common import text_or_empty
+from discweave.llm.words import row_groups, tidy, whole
+from discweave.llm.words import words_of as spelled_words
 
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -26,6 +28,7 @@ UNDETERMINED = "und"
 LONGEST = 5
 #: How far one word can speak against a language, in natural logarithms.
 FLOOR = -7.0
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
@@ -45,6 +48,7 @@ class Model:
     words: dict[str, int] = field(default_factory=dict)
     grams: list[dict[str, int]] = field(default_factory=list)
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    hashed: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def word(self, word: str) -> np.ndarray:
         at = self.words.get(word)
@@ -57,6 +61,49 @@ class Model:
                 return self.table[known].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
+    def _hashes(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """64-bit hashes of every ``n`` code points in a row."""
+        size = max(0, len(codes) - n + 1)
+        out = np.full(size, n, np.uint64)
+        for k in range(n):
+            out = (out ^ codes[k : size + k]) * MIX
+            out ^= out >> np.uint64(29)
+        return out
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """What :meth:`word` gives for each of many words, their n-grams looked up together by hash."""
+        if not self.hashed:
+            for n, known in enumerate(self.grams):
+                codes = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                found = self._hashes(codes, n)[::n] if n and known else np.zeros(0, np.uint64)
+                order = np.argsort(found)
+                self.hashed.append((found[order], np.fromiter(known.values(), np.int64, len(known))[order]))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = self.table[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        for n in range(LONGEST, 0, -1):
+            if not len(rest):
+                break
+            pad = int(n > 1)
+            codes = np.frombuffer("".join([f"^{words[k]}$" if pad else words[k] for k in rest.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            sizes = np.fromiter((len(words[k]) + 2 * pad for k in rest.tolist()), np.int64, len(rest))
+            ends = np.cumsum(sizes)
+            of = np.repeat(np.arange(len(rest)), sizes)[: max(0, len(codes) - n + 1)]
+            whole = np.arange(len(of)) + n <= ends[of]
+            known, rows = self.hashed[n]
+            hashes = self._hashes(codes, n)
+            place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+            hit = np.flatnonzero(whole & (known[place] == hashes)) if len(known) else np.zeros(0, np.int64)
+            count = np.bincount(of[hit], minlength=len(rest))
+            done = (count > 0) & (2 * count >= sizes - n + 1)
+            hit = hit[done[of[hit]]]
+            values = self.table[rows[place[hit]]]
+            for language in range(len(self.languages)):
+                out[rest, language] = np.bincount(of[hit], weights=values[:, language], minlength=len(rest)) / np.maximum(count, 1)
+            rest = rest[~done]
+        return out
+
 
 def fit(counts: dict[str, dict[str, int]], least: int = 2) -> Model:
     """``counts``: per language the number of times of each word. Words and n-grams seen fewer
@@ -123,39 +170,58 @@ def learn(docs: DataFrame, rows: F.Column, text_col: str = "text", lang_col: str
 
 
 class Scorer:
-    """Sums the rows of a text's chunks; a chunk's row is computed once while it is remembered."""
+    """Sums the rows of the words of whole texts.
 
-    def __init__(self, model: Model, remembered: int = 300_000):
+    The chunks between ASCII white space are scored once for each spelling in a group of texts
+    and remembered, up to ``remembered`` of them.
+    """
+
+    def __init__(self, model: Model, remembered: int = 150_000):
         self.model, self.limit = model, remembered
         self.rows = np.zeros((remembered, len(model.languages) + 1), np.float32)
         self.at: dict[str, int] = {}
 
-    def _new(self, chunk: str) -> int:
-        k = self.at[chunk] = len(self.at)
-        row = self.rows[k]
-        row[:] = 0
-        for word in words_of(chunk):
-            row[:-1] += self.model.word(word)
-            row[-1] += 1
-        return k
-
-    def __call__(self, text: str) -> tuple[str, float]:
-        total = np.zeros(len(self.model.languages) + 1)
-        chunks = text.split()
-        for begin in range(0, len(chunks), 50_000):
-            part = chunks[begin : begin + 50_000]
-            if len(self.at) + len(part) > self.limit:
+    def _rows(self, chunks: list[str]) -> np.ndarray:
+        """For each chunk the summed rows of its words, and their number."""
+        out = np.zeros((len(chunks), self.rows.shape[1]), np.float32)
+        known = np.array([self.at.get(c, -1) for c in chunks], np.int64)
+        out[known >= 0] = self.rows[known[known >= 0]]
+        new = np.flatnonzero(known < 0)
+        words = [words_of(chunks[k]) for k in new.tolist()]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        full = np.flatnonzero(counts)
+        if len(full):
+            found = self.model.rows_of([w for part in words for w in part])
+            starts = (np.cumsum(counts) - counts)[full]
+            out[new[full], :-1] = np.add.reduceat(found, starts, axis=0)
+            out[new, -1] = counts
+        for k in new.tolist():
+            if len(self.at) >= self.limit:
                 self.at.clear()
-            at = self.at
-            places = [at[c] if c in at else self._new(c) for c in part]
-            total += self.rows[places].sum(axis=0, dtype=np.float64)
-        n = total[-1]
-        if not self.model.languages or not n and not any(c.isalpha() for c in text):
-            return UNDETERMINED, 0.0
-        mean = total[:-1] / max(n, 1)
-        best = int(mean.argmax())
-        odds = np.exp((mean - mean[best]) * min(max(n, 1), 12))
-        return self.model.languages[best], float(1 / odds.sum())
+            if len(chunks[k]) <= 200:
+                self.rows[len(self.at)] = out[k]
+                self.at[chunks[k]] = len(self.at)
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """Languages and scores of texts, none null."""
+        words = spelled_words(texts)
+        total = np.zeros((len(texts), len(self.model.languages) + 1))
+        full = np.flatnonzero(words.ends > words.starts)
+        if len(full):
+            total[full] = np.add.reduceat(self._rows(words.spelled)[words.codes], words.starts[full], axis=0, dtype=np.float64)
+        n = total[:, -1]
+        if not self.model.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        mean = total[:, :-1] / np.maximum(n, 1)[:, None]
+        best = mean.argmax(axis=1)
+        odds = np.exp((mean - mean.max(axis=1, keepdims=True)) * np.clip(n, 1, 12)[:, None])
+        scores = 1 / odds.sum(axis=1)
+        names = [self.model.languages[b] for b in best.tolist()]
+        for k in np.flatnonzero(n == 0).tolist():
+            if not any(map(str.isalpha, texts[k].as_py())):
+                names[k], scores[k] = UNDETERMINED, 0.0
+        return names, scores.tolist()
 
 
 def identify(docs: DataFrame, model: Model, *keep: F.Column, text_col: str = "text") -> DataFrame:
@@ -174,9 +240,13 @@ def identify(docs: DataFrame, model: Model, *keep: F.Column, text_col: str = "te
     def run(batches):
         score = Scorer(sent.value)
         for batch in batches:
-            made = [score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [*batch.columns[:-1], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kinds.names, "lang_pred", "score"])
+            texts = batch.column(batch.num_columns - 1)
+            for a, b in row_groups(texts):
+                names, scores = score(texts[a:b])
+                columns = [*(c[a:b] for c in batch.columns[:-1]), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kinds.names, "lang_pred", "score"])
+        del score
+        tidy()
 
     return inner.mapInArrow(run, type(kinds)(kinds.fields).add("lang_pred", StringType()).add("score", DoubleType()))
 
@@ -213,6 +283,17 @@ def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id"
     model = learn(docs, crc_class(id_col, 4) != 2, text_col, lang_col, id_col)
     if not model.languages:
         return docs.where(has_letter(text_or_empty(text_col)))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    found = identify(packed, model, F.col("row"), text_col="text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        score = Scorer(sent.value)
+        for batch in batches:
+            texts = whole(batch.column(at))
+            for a, b in row_groups(texts):
+                names, scores = score(texts[a:b])
+                yield batch.slice(a, b - a).filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        del score
+        tidy()
+
+    return docs.mapInArrow(run, docs.schema)
