@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from discweave.llm import files
 from discweave.llm.common import open_fs, plan_shards, row_salt, shard_of, text_or_empty
-from discweave.llm.words import dealt, row_groups
+from discweave.llm.words import dealt, row_groups, tidy
 
 MAGIC = b"BPL1"
 TAIL = struct.Struct("<QQ4s")
@@ -321,6 +321,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_i
                 yield row()
         finally:
             encode.forget()
+            tidy()
 
     written = dealt_out.mapInArrow(write, "name string, temporary string, shard int, n_docs long, n_ids long, bytes long")
     start = 0

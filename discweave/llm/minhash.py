@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from discweave.llm.common import Workspace, keep_rows, materialize, text_or_empty, with_filter
 from discweave.llm.components import star_components
-from discweave.llm.words import row_groups, words_of
+from discweave.llm.words import row_groups, tidy, words_of
 
 ROWS, BANDS = 5, 36
 HASHES = ROWS * BANDS
@@ -194,6 +194,7 @@ def sign(texts: DataFrame, width: int) -> DataFrame:
                 signatures = [signature(s).tobytes() if len(s) else None for s in sets]
                 columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "set", "signature"])
+        tidy()
 
     return texts.mapInArrow(run, "id long, mark long, n long, set binary, signature binary")
 
@@ -282,6 +283,7 @@ def confirmer(width: int, percent: int) -> Callable:
             found = list(confirmed(sets, signatures_of(signed), percent, labels, strays if any(strays) else None))
             if found:
                 yield links_batch([(names[i], names[j]) for i, j in found])
+        tidy()
 
     return run
 
