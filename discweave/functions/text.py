@@ -26,6 +26,8 @@ def sanitize(label: Column, most: int = 120) -> Column:
 
 #: Months; a reader may put spaces between the letters, and a zero after the O.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+#: One test for all of them: most labels name no month.
+ANY_MONTH = r"(?iUu)\b(" + "|".join(r"\s*".join(m) for m in MONTHS) + r"|O\s*0\s*c\s*t)\b"
 
 
 def cleanup(text: Column) -> Column:
@@ -36,11 +38,13 @@ def cleanup(text: Column) -> Column:
     t = collapse(F.regexp_replace(text, "\t", " "))
     t = F.regexp_replace(t, r"(?U)(\d)([A-Za-z])", "$1 $2")
     t = F.regexp_replace(t, r"(?U)([A-Za-z])(\d)", "$1 $2")
+    mended = t
     for month in MONTHS:
         spaced = r"\s*".join(month)
-        t = F.regexp_replace(t, rf"(?iUu)\b{spaced}\b", month)
+        mended = F.regexp_replace(mended, rf"(?iUu)\b{spaced}\b", month)
         if month == "Oct":
-            t = F.regexp_replace(t, r"(?iUu)\bO\s*0\s*c\s*t\b", month)
+            mended = F.regexp_replace(mended, r"(?iUu)\bO\s*0\s*c\s*t\b", month)
+    t = F.when(t.rlike(ANY_MONTH), mended).otherwise(t)
     t = F.regexp_replace(t, r"(?U)\b([A-Za-z])\s+(\d{2,4})\b", "$1$2")
     t = F.regexp_replace(t, r"(?U)\b(\d{1,2})\s*/\s*([A-Za-z]{3})\b", "$1 $2")
     return collapse(t)

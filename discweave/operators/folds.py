@@ -2,13 +2,15 @@
 
 Each is one higher-order ``aggregate`` over the sorted array of a group's rows, so it runs in
 the JVM with the group as its unit: the boxes of one menu page, a few dozen rows. A group's
-array is built by a map-side combining ``collect_list`` and never leaves its task.
+array is built by a map-side combining ``collect_list`` and never leaves its task. (Merging to a
+fixed point has no such form; it is a grouped map.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ def greedy_suppress(df: DataFrame, group: str, threshold: float = 0.9) -> DataFr
     return fold(sorted_rows(df, group, ["pos"], ["x1", "y1", "x2", "y2"]), group, BOX, step).select(group, "item.*")
 
 
+def score_suppress(df: DataFrame, group: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """Boxes (pos, x1, y1, x2, y2), best score first, without those of which a better one covers more
+    than ``threshold`` of their own area; far edges are outside."""
+    rows = df.withColumn("_rank", -F.col(score))
+
+    def covered(k: Column, r: Column) -> Column:
+        w, h = F.least(k["x2"], r["x2"]) - F.greatest(k["x1"], r["x1"]), F.least(k["y2"], r["y2"]) - F.greatest(k["y1"], r["y1"])
+        return (w > 0) & (h > 0) & (w * h > threshold * (r["x2"] - r["x1"]) * (r["y2"] - r["y1"]))
+
+    def step(kept: Column, r: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: covered(k, r)), kept).otherwise(F.array_append(kept, _box(r)))
+
+    return fold(sorted_rows(rows, group, ["_rank", "pos"], ["x1", "y1", "x2", "y2"]), group, BOX, step).select(group, "item.*")
+
+
 def greedy_merge(df: DataFrame, group: str, threshold: float = 0.9) -> DataFrame:
     """Boxes in order of pos; one that overlaps a merged box by more grows the first such box."""
     def step(merged: Column, r: Column) -> Column:
@@ -117,6 +134,22 @@ def first_fit_rows(df: DataFrame, group: str, centre: str, sort: list[str], pos:
     return fold(sorted_rows(rows, group, [f"s{i}" for i in range(len(sort))] + ["pos"], ["c"]), group, kind, step).select(group, "item.*")
 
 
+def first_fit_edges(df: DataFrame, group: str, tolerance: float = 20.0) -> DataFrame:
+    """``line`` of boxes (pos, x1, y1, y2) in order of (y1, x1): the first line whose first box's top, or
+    whose first box's lower edge, is within ``tolerance`` of the box's, else a new one."""
+    kind = "struct<pos:bigint,line:int,top:double,low:double>"
+
+    def step(done: Column, r: Column) -> Column:
+        near = lambda d: (F.abs(d["top"] - r["y1"]) <= tolerance) | (F.abs(d["low"] - r["y2"]) <= tolerance)
+        line = F.array_min(F.transform(F.filter(done, near), lambda d: d["line"]))
+        new = F.coalesce(F.array_max(F.transform(done, lambda d: d["line"])), F.lit(0)) + 1
+        first = F.element_at(F.filter(done, lambda d: d["line"] == line), 1)
+        edge = lambda c, own: F.when(line.isNotNull(), first[c]).otherwise(r[own].cast("double")).alias(c)
+        return F.array_append(done, F.struct(r["pos"].cast("bigint").alias("pos"), F.coalesce(line, new).alias("line"), edge("top", "y1"), edge("low", "y2")))
+
+    return fold(sorted_rows(df, group, ["y1", "x1", "pos"], ["y2"]), group, kind, step).select(group, "item.pos", "item.line")
+
+
 def same_rect_groups(df: DataFrame, group: str, distance: float = 30.0, ratio: float = 0.7, expected: int = 1000) -> DataFrame:
     """``leader``: the first box without one leads, and takes every later box that is near it by
     centre and alike in area; at most ``expected`` leaders, further boxes have none."""
@@ -135,28 +168,42 @@ def same_rect_groups(df: DataFrame, group: str, distance: float = 30.0, ratio: f
     return fold(rows, group, kind, step).select(group, "item.pos", "item.leader")
 
 
-def block_merge(df: DataFrame, group: str, gap: int = 1, most_height: int = 120) -> DataFrame:
-    """Boxes merged with a neighbour at most ``gap`` away while the result is no taller than
-    ``most_height``, over and over until nothing changes (a round for each box is enough)."""
-    rows = sorted_rows(df, group, ["pos"], ["x1", "y1", "x2", "y2"])
-
-    def touch(a: Column, b: Column) -> Column:
-        close = (a["x1"] <= b["x2"] + gap) & (b["x1"] <= a["x2"] + gap) & (a["y1"] <= b["y2"] + gap) & (b["y1"] <= a["y2"] + gap)
-        return close & (F.greatest(a["y2"], b["y2"]) - F.least(a["y1"], b["y1"]) + 1 <= most_height)
-
-    def join(a: Column, b: Column) -> Column:
-        return F.struct(F.least(a["pos"], b["pos"]).cast("bigint").alias("pos"), F.least(a["x1"], b["x1"]).cast("int").alias("x1"), F.least(a["y1"], b["y1"]).cast("int").alias("y1"), F.greatest(a["x2"], b["x2"]).cast("int").alias("x2"), F.greatest(a["y2"], b["y2"]).cast("int").alias("y2"))
+def block_merge(df: DataFrame, group: str, reach: int = 8, most_height: int = 120) -> DataFrame:
+    """Dark blocks of a page grown into boxes: (group, pos, x1, y1, x2, y2).
 
-    def step(merged: Column, r: Column) -> Column:
-        hits = F.exists(merged, lambda m: touch(m, r))
-        numbered = F.transform(merged, lambda m, i: F.struct(i.alias("i"), touch(m, r).alias("hit")))
-        first = F.element_at(F.filter(numbered, lambda n: n["hit"]), 1)["i"]
-        return F.when(hits, F.transform(merged, lambda m, i: F.when(i == first, join(m, r)).otherwise(m))).otherwise(F.array_append(merged, _box(r)))
-
-    start = F.array().cast(f"array<{BOX}>")
-    once = lambda boxes: F.aggregate(boxes, start, step)
-    settled = F.aggregate(F.sequence(F.lit(1), F.size("rows")), once(F.col("rows")), lambda boxes, _: once(boxes))
-    return rows.select(group, F.explode(settled).alias("item")).select(group, "item.*")
+    In order of pos each block that no box has taken begins one, which takes every free block
+    that begins within ``reach`` of its right edge and shares rows with it, or begins within
+    ``reach`` of its lower edge, shares columns and keeps it within ``most_height``; the box has
+    grown when the next is tested, and goes round until nothing is taken. A block that began a box
+    stays free for later ones. One task a page: a page is dozens of blocks.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def boxes(rows: list[tuple]) -> Iterator[tuple]:
+        taken = [False] * len(rows)
+        for first, (pos, *box) in enumerate(rows):
+            if taken[first]:
+                continue
+            grew = True
+            while grew:
+                grew = False
+                for k, (_, x1, y1, x2, y2) in enumerate(rows):
+                    if taken[k] or k == first:
+                        continue
+                    beside = abs(x1 - box[2]) <= reach and y2 >= box[1] and y1 <= box[3]
+                    under = abs(y1 - box[3]) <= reach and x2 >= box[0] and x1 <= box[2]
+                    grown = [min(box[0], x1), min(box[1], y1), max(box[2], x2), max(box[3], y2)]
+                    if beside or under and grown[3] - grown[1] < most_height:
+                        box, taken[k], grew = grown, True, True
+            yield pos, *box
+
+    def merge(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("pos", "x1", "y1", "x2", "y2")), strict=True))
+        out = list(zip(*boxes(rows), strict=True))
+        columns = [pa.array([table.column(0)[0].as_py()] * len(out[0]), table.schema.field(0).type), pa.array(out[0], pa.int64()), *(pa.array(c, pa.int32()) for c in out[1:])]
+        return pa.Table.from_arrays(columns, names=[group, "pos", "x1", "y1", "x2", "y2"])
+
+    return df.select(group, F.col("pos").cast("long"), *[F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")]).groupBy(group).applyInArrow(merge, f"{group} {kind}, pos long, x1 int, y1 int, x2 int, y2 int")
 
 
 def traverse(links: DataFrame, starts: DataFrame, group: str, mode: str = "row") -> DataFrame:

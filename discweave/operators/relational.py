@@ -189,7 +189,21 @@ def envelope(df: DataFrame, group: str, low: str, high: str) -> DataFrame:
 def signature_dedup(df: DataFrame, signature: list[str], pos: str) -> DataFrame:
     """One row a signature: a dense id in order of first occurrence, that place, all places, count."""
     found = df.groupBy(*signature).agg(F.min(pos).alias("first_pos"), F.array_sort(F.collect_list(pos)).alias("positions"), F.count("*").alias("n"))
-    return found.withColumn("config_id", F.row_number().over(Window.orderBy("first_pos")))
+    return numbered(found, "first_pos", "config_id")
+
+
+def numbered(df: DataFrame, order: str, out: str, cells: int = 1024) -> DataFrame:
+    """``out``: 1, 2, ... by a numeric column over the whole table, without one task for all: rows are
+    numbered within ``cells`` equal ranges of the column, after the rows of the ranges before."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    width = (high - low) / cells or 1
+    placed = df.withColumn("_cell", F.least(F.lit(cells - 1), F.floor((F.col(order) - F.lit(low)) / F.lit(width))))
+    before = placed.groupBy("_cell").agg(F.count("*").alias("_c"))
+    before = before.select("_cell", (F.sum("_c").over(Window.orderBy("_cell")) - F.col("_c")).alias("_before"))  # at most ``cells`` rows
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(order))
+    return placed.join(F.broadcast(before), "_cell").withColumn(out, (rank + F.col("_before")).cast("int")).drop("_cell", "_before")
 
 
 def union_edges(edges: DataFrame, keys: list[str], target: str, version: str) -> DataFrame:
@@ -228,12 +242,21 @@ def iqr_filter(df: DataFrame, group: str, first: str, second: str, least_rows: i
     return df.join(stats, group).where(~(active & low)).drop("_n", "_lo1", "_r1", "_lo2", "_r2")
 
 
-def regularise(df: DataFrame, group: str, value: str, out: str, least_rows: int = 4, k: float = 1.5) -> DataFrame:
-    """``out``: the group's median, half to even, for values inside the fences; others as they are."""
-    lo, hi, _ = iqr_bounds(value, k)
-    stats = df.groupBy(group).agg(F.count("*").alias("_n"), F.percentile(value, 0.5).alias("_m"), lo.alias("_lo"), hi.alias("_hi"))
-    inside = (F.col("_n") >= least_rows) & F.col(value).between(F.col("_lo"), F.col("_hi"))
-    return df.join(stats, group).withColumn(out, F.when(inside, F.bround("_m").cast("int")).otherwise(F.col(value).cast("int"))).drop("_n", "_m", "_lo", "_hi")
+def regularise_heights(df: DataFrame, group: str, y1: str, y2: str, frame_h: int, least_rows: int = 4, k: float = 1.5) -> DataFrame:
+    """``new_y1`` and ``new_y2``: boxes whose height lies within the group's fences get the median
+    height (half to even) about their centre, moved into the frame; others, and groups of fewer
+    than ``least_rows`` or without spread, stay."""
+    tall = df.withColumn("_h", F.col(y2) - F.col(y1) + 1)
+    lo, hi, spread = iqr_bounds("_h", k)
+    stats = tall.groupBy(group).agg(F.count("*").alias("_n"), F.bround(F.percentile("_h", 0.5)).cast("int").alias("_m"), lo.alias("_lo"), hi.alias("_hi"), spread.alias("_r"))
+    both = tall.join(stats, group)
+    top = F.bround((F.col(y1) + F.col(y2)) / 2.0 - (F.col("_m") - 1) / 2.0).cast("int")
+    low = top + F.col("_m") - 1
+    inside = (F.col("_n") >= least_rows) & (F.col("_r") != 0) & F.col("_h").between(F.col("_lo"), F.col("_hi"))
+    moved = F.when(top < 0, F.lit(0)).when(low >= frame_h, F.greatest(F.lit(0), frame_h - F.col("_m"))).otherwise(top)
+    end = F.when(top < 0, F.least(F.lit(frame_h - 1), F.col("_m") - 1)).when(low >= frame_h, F.lit(frame_h - 1)).otherwise(low)
+    both = both.withColumn("new_y1", F.when(inside, moved).otherwise(F.col(y1))).withColumn("new_y2", F.when(inside, end).otherwise(F.col(y2)))
+    return both.drop("_h", "_n", "_m", "_lo", "_hi", "_r")
 
 
 def proportional(df: DataFrame, group: str, size: str, total: str, order: list, out: str) -> DataFrame:
@@ -299,10 +322,14 @@ def column_major(df: DataFrame, group: str, x: str, y: str, tie: str) -> DataFra
     return both.withColumn("pos", F.row_number().over(order)).drop("_m", "_spread")
 
 
-def header_first(df: DataFrame, group: str, x: str, y: str, w: str, frame_w: int, tie: str) -> DataFrame:
-    """``pos``: wide boxes across the middle first, then the left column, then the right one."""
-    bucket = F.when(F.col(w) >= 0.6 * frame_w, 0).when(F.col(x) + F.col(w) / 2 < frame_w / 2, 1).otherwise(2)
-    return df.withColumn("bucket", bucket).withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("bucket", y, x, tie)))
+def header_first(df: DataFrame, group: str, x1: str, y1: str, x2: str, frame_w: int, frame_h: int, tie: str) -> DataFrame:
+    """``pos``: the header first, then the boxes centred left of the frame's middle, then the others,
+    each column downwards. The header is one box at most: of those at least 0.6 of the frame wide
+    that begin in its top 0.3, the highest, of these the widest."""
+    wide = (F.col(x2) - F.col(x1) + 1 >= 0.6 * frame_w) & (F.col(y1) < 0.3 * frame_h)
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.when(wide, 0).otherwise(1), y1, F.desc(F.col(x2) - F.col(x1)), tie)) == 1
+    bucket = F.when(wide & first, 0).when((F.col(x1) + F.col(x2)) / 2 < frame_w // 2, 1).otherwise(2)
+    return df.withColumn("bucket", bucket).withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("bucket", y1, x1, tie)))
 
 
 def choose_order(df: DataFrame) -> DataFrame:

@@ -81,33 +81,32 @@ def projection(boxes: DataFrame, group: str, x1: str, x2: str, height: str, widt
 def deepest_valley(profile: DataFrame, group: str, x: str, v: str, low: int, high: int) -> DataFrame:
     """The lowest point of a profile between ``low`` and ``high`` (the first on a tie), the peaks on
     its sides, its depth relative to the higher one, the density on each side, and the width of
-    the stretch around it within 5 % of the peak."""
-    inside = profile.where(F.col(x).between(low, high))
-    valley = inside.groupBy(group).agg(F.min(F.struct(v, x)).alias("_v")).select(group, F.col(f"_v.{x}").alias("valley_x"), F.col(f"_v.{v}").alias("valley"))
-    sides = inside.join(valley, group)
-    left, right = F.col(x) < F.col("valley_x"), F.col(x) > F.col("valley_x")
-    peaks = sides.groupBy(group, "valley_x", "valley").agg(
-        F.coalesce(F.max(F.when(left, F.col(v))), F.lit(0.0)).alias("left_peak"),
-        F.coalesce(F.max(F.when(right, F.col(v))), F.lit(0.0)).alias("right_peak"),
-        F.coalesce(F.sum(F.when(left, F.col(v))), F.lit(0.0)).alias("left_density"),
-        F.coalesce(F.sum(F.when(right, F.col(v))), F.lit(0.0)).alias("right_density"),
-    )
-    peaks = peaks.withColumn("peak", F.greatest("left_peak", "right_peak")).withColumn("depth", F.when(F.col("peak") > 0, (F.col("peak") - F.col("valley")) / F.col("peak")))
+    the stretch around it within 5 % of the peak.
+
+    A group's profile, a value for each column of a frame, is one sorted array; what is sought is
+    found by passes over it."""
+    rows = profile.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(v).cast("double").alias("v")))).alias("_all"))
+    rows = rows.withColumn("_in", F.filter("_all", lambda r: r["x"].between(low, high)))
+    rows = rows.withColumn("_low", F.array_min(F.transform("_in", lambda r: F.struct(r["v"], r["x"]))))
+    rows = rows.where("_low IS NOT NULL").withColumn("valley_x", F.col("_low.x")).withColumn("valley", F.col("_low.v"))
+    for name, side in (("left", lambda r: r["x"] < F.col("valley_x")), ("right", lambda r: r["x"] > F.col("valley_x"))):
+        values = F.transform(F.filter("_in", side), lambda r: r["v"])
+        rows = rows.withColumn(f"{name}_peak", F.coalesce(F.array_max(values), F.lit(0.0))).withColumn(f"{name}_density", F.aggregate(values, F.lit(0.0), lambda s, r: s + r))
+    rows = rows.withColumn("peak", F.greatest("left_peak", "right_peak")).withColumn("depth", F.when(F.col("peak") > 0, (F.col("peak") - F.col("valley")) / F.col("peak")))
     # the plateau is what lies between the nearest points above the tolerance on either side
-    around = profile.join(peaks.select(group, "valley_x", (F.col("valley") + F.col("peak") * 0.05).alias("_tol")), group)
-    bounds = around.groupBy(group, "valley_x").agg(
-        F.coalesce(F.max(F.when((F.col(x) < F.col("valley_x")) & (F.col(v) > F.col("_tol")), F.col(x))), F.min(x) - 1).alias("_l"),
-        F.coalesce(F.min(F.when((F.col(x) > F.col("valley_x")) & (F.col(v) > F.col("_tol")), F.col(x))), F.max(x) + 1).alias("_r"),
-    )
-    return peaks.join(bounds.select(group, (F.col("_r") - F.col("_l") - 1).alias("gutter")), group)
+    rows = rows.withColumn("_high", F.filter("_all", lambda r: r["v"] > F.col("valley") + F.col("peak") * 0.05))
+    xs = lambda array, keep: F.transform(F.filter(array, keep) if keep else F.col(array), lambda r: r["x"])
+    left = F.coalesce(F.array_max(xs("_high", lambda r: r["x"] < F.col("valley_x"))), F.array_min(xs("_all", None)) - 1)
+    right = F.coalesce(F.array_min(xs("_high", lambda r: r["x"] > F.col("valley_x"))), F.array_max(xs("_all", None)) + 1)
+    return rows.withColumn("gutter", right - left - 1).drop("_all", "_in", "_low", "_high")
 
 
-def gutter(valleys: DataFrame, group: str, min_depth: float = 0.6, min_width: int = 20, min_balance: float = 0.25) -> DataFrame:
-    """(group, gutter_x): where a valley parts two columns, null where it does not."""
+def gutter(valleys: DataFrame, min_depth: float = 0.6, min_width: int = 20, min_balance: float = 0.25) -> DataFrame:
+    """``gutter_x``: where a valley parts two columns, null where it does not."""
     balance = F.when((F.col("left_density") > 0) & (F.col("right_density") > 0), F.least("left_density", "right_density") / F.greatest("left_density", "right_density")).otherwise(0.0)
     enough = (F.col("left_density") >= F.col("peak") * 3) & (F.col("right_density") >= F.col("peak") * 3)
     ok = (F.col("peak") > 0) & (F.col("depth") >= min_depth) & (F.col("gutter") >= min_width) & enough & (balance >= min_balance)
-    return valleys.select(group, F.when(ok, F.col("valley_x")).alias("gutter_x"))
+    return valleys.withColumn("gutter_x", F.when(ok, F.col("valley_x")))
 
 
 def islands(df: DataFrame, group: list[str], order: list, starts: Column, out: str = "island") -> DataFrame:
@@ -177,18 +176,44 @@ def image_similarity(a: Column, b: Column, most: float = 255.0) -> Column:
     return F.when(F.size(a) != F.size(b), 0.0).otherwise(1 - F.sqrt(squares / F.size(a)) / most)
 
 
-def fill_missing(df: DataFrame, group: str, value: str, least: int = 7, wanted: int = 10) -> DataFrame:
-    """Positions of regularly spaced bands with the missing ones put in: where a gap is near a
-    multiple of the upper median gap, and beyond the last up to ``wanted``; only groups of
-    ``least`` to ``wanted`` - 1 rows are filled."""
-    w = over([group], [value])
-    gaps = df.select(group, value).withColumn("_gap", F.lead(value).over(w) - F.col(value))
-    stats = gaps.groupBy(group).agg(F.count("*").alias("_n"), F.element_at(F.array_sort(F.collect_list("_gap")), (F.floor(F.count("_gap") / 2) + 1).cast("int")).alias("_step"), F.max(value).alias("_last"))
-    open_ = F.col("_n").between(least, wanted - 1) & (F.col("_step") > 0)
-    inner = gaps.join(stats, group).where(open_ & (F.col("_gap") >= 1.5 * F.col("_step")))
-    times = F.bround(F.col("_gap") / F.col("_step")).cast("int")
-    put = inner.where(times >= 2).select(group, F.explode(F.transform(F.sequence(F.lit(1), times - 1), lambda k: (F.col(value) + F.col("_gap") * k / times).cast("double"))).alias(value))
-    within = df.select(group, F.col(value).cast("double").alias(value), F.lit(False).alias("made")).unionByName(put.withColumn("made", F.lit(True)))
-    have = within.groupBy(group).agg(F.count("*").alias("_have")).join(stats, group).where(open_ & (F.col("_have") < wanted))
-    beyond = have.select(group, F.explode(F.transform(F.sequence(F.lit(1), wanted - F.col("_have").cast("int")), lambda k: (F.col("_last") + F.col("_step") * k).cast("double"))).alias(value), F.lit(True).alias("made"))
-    return within.unionByName(beyond)
+def upper_median(values: str, group: str) -> Column:
+    """For every row the element at index n // 2 of its group's sorted values that are not null."""
+    found = F.array_sort(F.collect_list(values).over(Window.partitionBy(group)))
+    return F.try_element_at(found, (F.floor(F.size(found) / 2) + 1).cast("int"))
+
+
+def margins(height: int) -> tuple[int, int]:
+    """Top and bottom of a frame that bands keep clear of."""
+    return max(8, int(height * 0.04)), max(24, int(height * 0.08))
+
+
+def fill_missing(df: DataFrame, group: str, least: int = 7, most: int = 9, top: int = 0, height: int = 480) -> DataFrame:
+    """Bands (x1, y1, x2, y2) of regular spacing with the missing ones put in, ``made`` telling which.
+
+    Groups of ``least`` to ``most`` bands get one in the middle of every gap between centres over
+    1.5 times the upper median gap, and one a median gap above the first and below the last where
+    that leaves more than 1.4 of it to the frame's margin and the band ends before the other
+    margin. A band made has the upper medians of x1 and x2 and of the height.
+    """
+    w, page = over([group], ["y1", "x1"]), Window.partitionBy(group)
+    rows = df.select(group, "x1", "y1", "x2", "y2").withColumn("_c", (F.col("y1") + F.col("y2")) / 2.0).withColumn("_h", F.col("y2") - F.col("y1") + 1)
+    rows = rows.withColumn("_gap", F.lead("_c").over(w) - F.col("_c")).withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(page))
+    for out, of in (("_step", "_gap"), ("_tall", "_h"), ("_x1", "x1"), ("_x2", "x2")):
+        rows = rows.withColumn(out, upper_median(of, group))
+    above, below = margins(height)
+    high, low = top + above, top + height - below
+    half = F.greatest(F.lit(8), F.floor(F.col("_tall") / 2).cast("int"))
+
+    def band(when: Column, at: Column, keep) -> Column:
+        """The band made about ``at`` (cut off towards zero), or null."""
+        at = at.cast("int")
+        begin, end = F.greatest(F.lit(top), at - half), F.least(F.lit(top + height - 1), at + half)
+        fits = F.col("_n").between(least, most) & F.coalesce(when, F.lit(False)) & keep(begin, end)
+        return F.when(fits, F.struct(F.col("_x1").alias("x1"), begin.cast("int").alias("y1"), F.col("_x2").alias("x2"), end.cast("int").alias("y2"), F.lit(True).alias("made")))
+
+    first, last, step, c = F.col("_k") == 1, F.col("_k") == F.col("_n"), F.col("_step"), F.col("_c")
+    own = F.struct(*[F.col(x).cast("int").alias(x) for x in ("x1", "y1", "x2", "y2")], F.lit(False).alias("made"))
+    between = band(F.col("_gap") > 1.5 * step, c + F.col("_gap") / 2.0, lambda b, e: F.lit(True))
+    over_ = band(first & (c - high > 1.4 * step), c - step, lambda b, e: e < low)
+    under = band(last & (low - c > 1.4 * step), c + step, lambda b, e: b > high)
+    return rows.select(group, F.explode(F.array_compact(F.array(own, between, over_, under))).alias("_b")).select(group, "_b.*")

@@ -50,24 +50,35 @@ def rect_metrics(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH {RECTS}, s AS (SELECT pos, x1 AS x, y1 AS y, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, x1, y1, x2, y2 FROM rects),
-    n AS (SELECT *, CAST(greatest(1, round_even(w * CAST(0.9 AS DOUBLE), 0)) AS INT) AS nw, CAST(greatest(1, round_even(h * CAST(0.9 AS DOUBLE), 0)) AS INT) AS nh FROM s)
-    SELECT pos, CASE WHEN x + w <= 500 AND y + h <= 400 THEN 'inside' WHEN x < 500 AND y < 400 AND x + w <= 600 AND y + h <= 480 THEN 'cut'
-                     WHEN x + w <= 1024 AND y + h <= 1024 THEN 'scaled' ELSE 'kept' END AS arm,
-           CAST(x + floor((w - nw) / 2.0) AS INT) AS sx, CAST(y + floor((h - nh) / 2.0) AS INT) AS sy, nw AS sw, nh AS sh,
-           CAST(greatest(0, x - 6) AS INT) AS tx, CAST(h + (y - greatest(0, y - 4)) + 8 AS INT) AS th,
+    WITH {RECTS}, s AS (SELECT pos, x1 * (1 + pos % 2) AS x, y1 * (1 + pos % 2) AS y, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, x1, y1, x2, y2,
+                               40 + pos % 5 * 120 AS iw, 30 + pos % 4 * 130 AS ih, CASE WHEN pos % 3 = 0 THEN 120 ELSE 720 END AS tw FROM rects),
+    n AS (SELECT *, CAST(greatest(1, round_even(w * CAST(0.9 AS DOUBLE), 0)) AS INT) AS nw, CAST(greatest(1, round_even(h * CAST(0.9 AS DOUBLE), 0)) AS INT) AS nh,
+          CASE WHEN x + w <= iw AND y + h <= ih THEN 'inside' WHEN w <= iw AND h <= ih THEN 'cut' WHEN x + w <= iw * 1.2 AND y + h <= ih * 1.2 THEN 'cut' WHEN x + w <= 1024 AND y + h <= 1024 THEN 'scaled' ELSE 'kept' END AS arm,
+          CASE WHEN w > 100 AND h < 90 AND w < floor(tw * 0.9) THEN CASE WHEN x + w / 2.0 > tw * 0.45 THEN 'right' WHEN y > 200 THEN 'low' ELSE 'high' END ELSE 'kept' END AS tarm FROM s)
+    SELECT pos, arm, CAST(CASE arm WHEN 'cut' THEN greatest(0, x) WHEN 'scaled' THEN round_even(x * CAST(iw AS DOUBLE) / 1024, 0) ELSE x END AS INT) AS nx, CAST(CASE arm WHEN 'scaled' THEN round_even(y * CAST(ih AS DOUBLE) / 1024, 0) ELSE y END AS INT) AS ny,
+           CAST(CASE arm WHEN 'cut' THEN least(w, greatest(1, iw - x)) WHEN 'scaled' THEN round_even(w * CAST(iw AS DOUBLE) / 1024, 0) ELSE w END AS INT) AS nw,
+           CAST(CASE arm WHEN 'cut' THEN least(h, greatest(1, ih - y)) WHEN 'scaled' THEN round_even(h * CAST(ih AS DOUBLE) / 1024, 0) ELSE h END AS INT) AS nh,
+           CAST(x + floor((w - n.nw) / 2.0) AS INT) AS sx, CAST(y + floor((h - n.nh) / 2.0) AS INT) AS sy, n.nw AS sw, n.nh AS sh,
+           tarm, CAST(CASE tarm WHEN 'right' THEN greatest(0, x - 8) ELSE x END AS INT) AS tx,
+           CAST(CASE tarm WHEN 'low' THEN greatest(0, y - round_even(h * CAST(0.2 AS DOUBLE), 0)) WHEN 'high' THEN greatest(0, y - round_even(h * CAST(0.35 AS DOUBLE), 0)) ELSE y END AS INT) AS ty,
+           CAST(CASE WHEN tarm = 'kept' THEN w ELSE round_even(w * CAST(0.88 AS DOUBLE), 0) END AS INT) AS tw,
+           CAST(CASE tarm WHEN 'low' THEN h + round_even(h * CAST(0.2 AS DOUBLE), 0) + round_even(h * CAST(0.05 AS DOUBLE), 0) WHEN 'high' THEN h + round_even(h * CAST(0.35 AS DOUBLE), 0) + round_even(h * CAST(0.1 AS DOUBLE), 0) ELSE h END AS INT) AS th,
            CASE WHEN w <= 1.6 * h AND h <= 1.6 * w THEN CAST(least(719, x2 + floor(2.5 * w)) AS INT) ELSE x2 END AS wide,
            CAST(greatest(0, x1 - greatest(4, floor(w * 0.05))) AS INT) AS px, CAST(least(575, y2 + greatest(4, floor(h * 0.10))) AS INT) AS py
     FROM n
 """)
 def rect_adjustments(t: Tables) -> DataFrame:
-    """Boxes fitted to an image, shrunk, padded and widened."""
+    """Boxes fitted to an image, shrunk, given room for text, widened and padded.
+    The boxes of odd numbers lie twice as far out, and images are of twenty sizes."""
     x1, y1, x2, y2 = corners()
-    x, y, w, h = geo.to_sized(x1, y1, x2, y2)
+    pos, (_, _, w, h) = F.col("pos"), geo.to_sized(x1, y1, x2, y2)
+    x, y = (x1 * (1 + pos % 2)).cast("int"), (y1 * (1 + pos % 2)).cast("int")
     sx, sy, sw, sh = geo.shrink(x, y, w, h, 0.9)
-    tx, _, _, th = geo.for_text(x, y, w, h, 0.8, 4, 8, 6)
     px, _, _, py = geo.pad_box(x1, y1, x2, y2, 720, 576)
-    return rects(t).select("pos", geo.normalise_to_image(x, y, w, h, 500, 400)["arm"].alias("arm"), sx.alias("sx"), sy.alias("sy"), sw.alias("sw"), sh.alias("sh"), tx.alias("tx"), th.alias("th"), geo.expand_right(x1, y1, x2, y2).alias("wide"), px.alias("px"), py.alias("py"))
+    fitted = geo.normalise_to_image(x, y, w, h, 40 + pos % 5 * 120, 30 + pos % 4 * 130)
+    room = geo.text_room(x, y, w, h, F.when(pos % 3 == 0, 120).otherwise(720))
+    return rects(t).select("pos", fitted.alias("n"), room.alias("t"), sx.alias("sx"), sy.alias("sy"), sw.alias("sw"), sh.alias("sh"), geo.expand_right(x1, y1, x2, y2).alias("wide"), px.alias("px"), py.alias("py")).select(
+        "pos", "n.arm", *[F.col(f"n.{c}").alias(f"n{c}") for c in "xywh"], "sx", "sy", "sw", "sh", F.col("t.arm").alias("tarm"), *[F.col(f"t.{c}").alias(f"t{c}") for c in "xywh"], "wide", "px", "py")
 
 
 @query("""
@@ -255,13 +266,16 @@ def column_major_order(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    WITH {RECTS}, b AS (SELECT page, pos AS box, x1, y1, CASE WHEN x2 - x1 + 1 >= 72.0 THEN 0 WHEN x1 + (x2 - x1 + 1) / 2.0 < 60 THEN 1 ELSE 2 END AS bucket FROM rects)
-    SELECT page, box, CAST(bucket AS INT) AS bucket, CAST(row_number() OVER (PARTITION BY page ORDER BY bucket, y1, x1, box) AS INT) AS pos FROM b
+    WITH {RECTS}, b AS (SELECT page, pos AS box, pos * 37 % 130 AS x1, y1, pos * 37 % 130 + x2 - x1 AS x2 FROM rects),
+    h AS (SELECT page, first(box ORDER BY y1, x2 - x1 DESC, box) AS header FROM b WHERE x2 - x1 + 1 >= 150 * 0.6 AND y1 < 520 * 0.3 GROUP BY 1),
+    k AS (SELECT b.*, CASE WHEN box = header THEN 0 WHEN (x1 + x2) / 2.0 < 75 THEN 1 ELSE 2 END AS bucket FROM b LEFT JOIN h USING (page))
+    SELECT page, box, CAST(bucket AS INT) AS bucket, CAST(row_number() OVER (PARTITION BY page ORDER BY bucket, y1, x1, box) AS INT) AS pos FROM k
 """)
 def header_first_order(t: Tables) -> DataFrame:
-    """A header, then the left column, then the right one."""
-    b = rects(t).withColumnRenamed("pos", "box").withColumn("w", F.col("x2") - F.col("x1") + 1)
-    return rel.header_first(b, "page", "x1", "y1", "w", 120, "box").select("page", "box", "bucket", "pos")
+    """One header at most, then the left column, then the right one."""
+    x = (F.col("pos") * 37 % 130).cast("int")
+    b = rects(t).select("page", F.col("pos").alias("box"), x.alias("x1"), "y1", (x + F.col("x2") - F.col("x1")).alias("x2"))
+    return rel.header_first(b, "page", "x1", "y1", "x2", 150, 520, "box").select("page", "box", "bucket", "pos")
 
 
 @query(f"""
@@ -301,10 +315,20 @@ def best_menu_group(t: Tables) -> DataFrame:
     return win.best_group(b, "page", "menu", 10, "a", "w").select("page", "menu", F.col("spread").cast("int").alias("spread"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {RECTS}, b AS (SELECT page, list({{'pos': pos, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY pos) AS b, len(b) AS n FROM rects GROUP BY 1),
+    k AS (SELECT page, 1 AS i, 0 AS j, b[1] AS box, [0] AS used, false AS grew, CAST(NULL AS STRUCT(pos BIGINT, x1 INT, y1 INT, x2 INT, y2 INT)) AS done FROM b
+        UNION ALL SELECT page, CASE WHEN j = 0 AND skip OR j > n AND NOT grew THEN i + 1 ELSE i END, CASE WHEN j = 0 AND skip THEN 0 WHEN j > n THEN CAST(grew AS INT) ELSE j + 1 END,
+            CASE WHEN j = 0 THEN b[i] WHEN hit THEN {{'pos': box.pos, 'x1': least(box.x1, o.x1), 'y1': least(box.y1, o.y1), 'x2': greatest(box.x2, o.x2), 'y2': greatest(box.y2, o.y2)}} ELSE box END,
+            CASE WHEN hit THEN list_append(used, j) ELSE used END, CASE WHEN j = 0 OR j > n THEN false ELSE grew OR hit END, CASE WHEN j > n AND NOT grew THEN box END
+        FROM (SELECT *, j BETWEEN 1 AND n AND j <> i AND NOT list_contains(used, j) AND (abs(o.x1 - box.x2) <= 8 AND NOT (o.y2 < box.y1 OR o.y1 > box.y2)
+                OR abs(o.y1 - box.y2) <= 8 AND NOT (o.x2 < box.x1 OR o.x1 > box.x2) AND greatest(box.y2, o.y2) - least(box.y1, o.y1) + 1 <= 120) AS hit
+            FROM (SELECT k.*, b.b, b.n, list_contains(used, i) AS skip, b.b[j] AS o FROM k JOIN b USING (page) WHERE i <= n)))
+    SELECT page, done.pos AS pos, done.x1 AS x1, done.y1 AS y1, done.x2 AS x2, done.y2 AS y2 FROM k WHERE done IS NOT NULL
+""")
 def block_merge(t: Tables) -> DataFrame:
-    """Neighbours merged to a fixed point, under a height limit."""
-    return folds.block_merge(rects(t), "page", 1, 120)
+    """Blocks that grow to the right and downwards to a fixed point."""
+    return folds.block_merge(rects(t), "page", 8, 120)
 
 
 @query(f"""
@@ -327,6 +351,5 @@ def moving_average_valley(t: Tables) -> DataFrame:
     b = rects(t).withColumn("h", F.col("y2") - F.col("y1") + 1)
     profile = win.projection(b, "page", "x1", "x2", "h", 720)
     smooth = profile.select("page", "x", win.moving_average("density", ["page"], ["x"], 5).alias("v"))
-    valleys = win.deepest_valley(smooth, "page", "x", "v", 108, 612)
-    parted = win.gutter(valleys, "page", min_depth=0.1, min_width=2)
-    return valleys.join(parted, "page").select("page", "valley_x", F.round("valley", 4).alias("valley"), F.round("peak", 4).alias("peak"), "gutter", "gutter_x")
+    valleys = win.gutter(win.deepest_valley(smooth, "page", "x", "v", 108, 612), min_depth=0.1, min_width=2)
+    return valleys.select("page", "valley_x", F.round("valley", 4).alias("valley"), F.round("peak", 4).alias("peak"), "gutter", "gutter_x")

@@ -18,11 +18,11 @@ from discweave.plans.catalogue import Tables, query
 @query(r"""
     SELECT page_id, CASE WHEN t = '' THEN 'untitled' ELSE t END AS name FROM (
         SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[<>:"/|?*\\]', '', 'g'),
-               '[\x00-\x1F]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 40), '[._]+$', '') AS t FROM pages)
+               '[\x00-\x1F]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 120), '[._]+$', '') AS t FROM pages)
 """)
 def sanitize_label(t: Tables) -> DataFrame:
     """file names from labels."""
-    return t.pages.select("page_id", text.sanitize(F.col("url"), 40).alias("name"))
+    return t.pages.select("page_id", text.sanitize(F.col("url")).alias("name"))
 
 
 @query(r"""
@@ -56,23 +56,23 @@ def text_quality(t: Tables) -> DataFrame:
 
 
 @query(r"""
-    WITH s AS (SELECT item_id, left(text, 60) AS t, list_transform(range(least(50, length(left(text, 60)))), lambda i: CASE WHEN (item_id + i) % 7 = 0 THEN -1.0 ELSE (item_id * 13 + i * 7) % 120 + 0.0 END) AS q FROM benchmark),
+    WITH s AS (SELECT item_id, text AS t, list_transform(range(greatest(1, length(text) - 10)), lambda i: CASE WHEN (item_id + i) % 7 = 0 THEN -1.0 ELSE (item_id * 13 + i * 7) % 120 + 0.0 END) AS q FROM benchmark),
          c AS (SELECT item_id, t, q, list_sum(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN regexp_matches(t[i], '[\pL\pN .,!?''()-]') THEN least(1, greatest(0, coalesce(q[i], 0) / 100)) ELSE 0 END)) / length(t) AS w,
                       (length(regexp_replace(t, '[^\pL\pN .,!?''()-]', '', 'g')) + length(regexp_replace(t, '[^\pL\pN]', '', 'g'))) * 0.5 / length(t) AS p,
                       least(1, list_avg(list_filter(q, lambda x: x >= 0)) / 100) AS m FROM s)
     SELECT item_id, round(w, 6) AS weighted, round(m, 6) AS confidence, round(0.6 * w + 0.25 * p + 0.15 * m, 6) AS blended FROM c
 """)
 def weighted_and_blended_quality(t: Tables) -> DataFrame:
-    """Quality weighted by the confidence of each character."""
-    label = F.substring("text", 1, 60)
-    confidences = F.transform(F.sequence(F.lit(0), F.least(F.lit(50), F.length(label)) - 1), lambda i: F.when((F.col("item_id") + i) % 7 == 0, F.lit(-1.0)).otherwise(((F.col("item_id") * 13 + i * 7) % 120).cast("double")))
+    """Quality weighted by the confidence of each character; the last ten have none."""
+    label = F.col("text")
+    confidences = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.length(label) - 10) - 1), lambda i: F.when((F.col("item_id") + i) % 7 == 0, F.lit(-1.0)).otherwise(((F.col("item_id") * 13 + i * 7) % 120).cast("double")))
     rows = t.benchmark.select("item_id", label.alias("t"), confidences.alias("q"))
     w, m = text.weighted_quality(F.col("t"), F.col("q")), text.mean_confidence(F.col("q"))
     return rows.select("item_id", F.round(w, 6).alias("weighted"), F.round(m, 6).alias("confidence"), F.round(text.blended_quality(w, text.quality(F.col("t")), m), 6).alias("blended"))
 
 
 CANDIDATES = """c AS (SELECT event_id // 8 AS label, event_id AS pos, ['primary', 'spu_a', 'spu_b', 'spu_c', 'spu_d', 'spu_e', 'blend', 'hue'][event_id % 8 + 1] AS name,
-    left(props, CAST(user_id % 9 AS INT)) AS txt, floor(value) / 100 AS quality FROM events)"""
+    props || repeat('x', CAST(user_id % 4 AS INT)) AS txt, floor(value) / 100 AS quality FROM events)"""
 
 
 @query(f"""
@@ -84,7 +84,7 @@ CANDIDATES = """c AS (SELECT event_id // 8 AS label, event_id AS pos, ['primary'
 def best_candidate(t: Tables) -> DataFrame:
     """The best of several readings, with a leaning to one family."""
     names = F.array(*map(F.lit, ["primary", "spu_a", "spu_b", "spu_c", "spu_d", "spu_e", "blend", "hue"]))
-    rows = t.events.select(F.floor(F.col("event_id") / 8).alias("label"), F.col("event_id").alias("pos"), F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")).alias("name"), F.substring("props", F.lit(1), (F.col("user_id") % 9).cast("int")).alias("txt"), (F.floor("value") / 100).alias("quality"))
+    rows = t.events.select(F.floor(F.col("event_id") / 8).alias("label"), F.col("event_id").alias("pos"), F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")).alias("name"), F.concat("props", F.repeat(F.lit("x"), (F.col("user_id") % 4).cast("int"))).alias("txt"), (F.floor("value") / 100).alias("quality"))
     return rel.best_candidate(rows, "label", "name", "txt", "quality", "pos")
 
 
@@ -156,8 +156,10 @@ def coordinate_lines(t: Tables) -> DataFrame:
 
 
 @query(r"""
-    SELECT c_custkey, CAST(nullif(regexp_replace(substr(c_name, 6), '[^0-9]', '', 'g'), '') AS INT) AS track, 'VTSM_01' AS base FROM customer
+    SELECT c_custkey, CAST(nullif(regexp_replace(substr(c_name, 6), '[^0-9]', '', 'g'), '') AS INT) AS track, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'VTSM_' || printf('%02d', c_nationkey) WHEN 2 THEN 'VMGM' ELSE NULL END AS base FROM customer
 """)
 def track_names(t: Tables) -> DataFrame:
     """SRC7 P14: numbers after a prefix, and menu names cut at their chain."""
-    return t.customer.select("c_custkey", text.track_number(F.col("c_name"), "Custo").alias("track"), text.menu_base(text.menu_id(F.lit(1), F.col("c_custkey") % 9)).alias("base"))
+    k = F.col("c_custkey") % 4
+    name = F.when(k == 0, F.lit("")).when(k == 1, text.menu_id(F.col("c_nationkey"), F.col("c_custkey") % 9)).when(k == 2, F.lit("VMGM"))
+    return t.customer.select("c_custkey", text.track_number(F.col("c_name"), "Custo").alias("track"), text.menu_base(name).alias("base"))

@@ -94,8 +94,7 @@ def positional_zip(t: Tables) -> DataFrame:
 
 @query("""
     WITH l AS (SELECT s_suppkey, s_nationkey AS nation, n_regionkey AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-         r AS (SELECT c_custkey, c_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey
-               WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 <> 0),
+         r AS (SELECT c_custkey, n_nationkey AS nation, n_regionkey AS region FROM customer JOIN nation ON n_nationkey = c_nationkey - CASE WHEN c_nationkey % 3 = 0 AND c_nationkey > 0 THEN 1 ELSE 0 END),
          fl AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY s_suppkey) AS pos FROM l WHERE nation IN (SELECT nation FROM r)),
          fr AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY c_custkey) AS pos FROM r),
          cl AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY s_suppkey) AS pos FROM l WHERE nation NOT IN (SELECT nation FROM r)),
@@ -107,7 +106,8 @@ def two_level_target_match(t: Tables) -> DataFrame:
     """Positions within a nation, or within the region where the nation has none."""
     nations = t.nation.select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
     left = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("nation")).join(nations, "nation")
-    right = t.customer.where("c_mktsegment = 'BUILDING' AND c_nationkey % 3 <> 0").select("c_custkey", F.col("c_nationkey").alias("nation")).join(nations, "nation")
+    near = F.col("c_nationkey") - F.when((F.col("c_nationkey") % 3 == 0) & (F.col("c_nationkey") > 0), 1).otherwise(0)  # so that some nations have none
+    right = t.customer.select("c_custkey", near.cast(nations.schema["nation"].dataType).alias("nation")).join(nations, "nation")
     return rel.two_level_match(left, right, "nation", "region", ["s_suppkey"], ["c_custkey"]).select("s_suppkey", "c_custkey", "level")
 
 
@@ -325,13 +325,17 @@ def iqr_outlier_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH s AS (SELECT p_brand, count(*) AS n, median(p_size) AS m, quantile_cont(p_size, .25) AS a, quantile_cont(p_size, .75) AS b FROM part GROUP BY 1)
-    SELECT p_partkey, CAST(CASE WHEN n >= 4 AND p_size BETWEEN a - .1 * (b - a) AND b + .1 * (b - a) THEN round_even(m, 0) ELSE p_size END AS INT) AS height
-    FROM part JOIN s USING (p_brand)
+    WITH r AS (SELECT p_partkey // 40 AS page, p_partkey, CAST(p_partkey * 53 % 480 AS INT) AS y1, CAST(p_partkey * 53 % 480 + p_size AS INT) AS y2, CAST(p_size + 1 AS INT) AS h FROM part),
+         s AS (SELECT page, count(*) AS n, CAST(round_even(median(h), 0) AS INT) AS m, quantile_cont(h, .25) AS a, quantile_cont(h, .75) AS b FROM r GROUP BY 1),
+         c AS (SELECT *, n >= 4 AND b <> a AND NOT (h < a - 0.2 * (b - a) OR h > b + 0.2 * (b - a)) AS fits, CAST(round_even(CAST((y1 + y2) / 2.0 - (m - 1) / 2.0 AS DOUBLE), 0) AS INT) AS top FROM r JOIN s USING (page))
+    SELECT page, p_partkey, CAST(CASE WHEN NOT fits THEN y1 WHEN top < 0 THEN 0 WHEN top + m - 1 >= 500 THEN greatest(0, 499 - (m - 1)) ELSE top END AS INT) AS new_y1,
+           CAST(CASE WHEN NOT fits THEN y2 WHEN top < 0 THEN least(499, m - 1) WHEN top + m - 1 >= 500 THEN 499 ELSE top + m - 1 END AS INT) AS new_y2 FROM c
 """)
 def regularise_heights(t: Tables) -> DataFrame:
-    """Values inside the fences become the median."""
-    return rel.regularise(t.part, "p_brand", "p_size", "height", 4, 0.1).select("p_partkey", "height")
+    """Boxes inside the fences get the median height about their centre, within the frame."""
+    y = (F.col("p_partkey") * 53 % 480).cast("int")
+    rows = t.part.select(F.floor(F.col("p_partkey") / 40).alias("page"), "p_partkey", y.alias("y1"), (y + F.col("p_size")).alias("y2"))
+    return rel.regularise_heights(rows, "page", "y1", "y2", 500, 4, 0.2).select("page", "p_partkey", "new_y1", "new_y2")
 
 
 @query("""
@@ -406,8 +410,9 @@ def edge_union(t: Tables) -> DataFrame:
 def page_assignment(t: Tables) -> DataFrame:
     """The page of each button: first seen, else the last, else by its index."""
     seen = t.events.where("event_type <> 'signup'").select("user_id", F.col("event_type").alias("button"), F.col("event_id").alias("at"))
-    wanted = t.spark.createDataFrame([("click", 0, "known"), ("view", 1, "known"), ("signup", 2, "known"), ("other", 3, "unknown")], "button string, i int, state string")
-    buttons = t.events.select("user_id").distinct().join(F.broadcast(wanted))
+    wanted = [("click", 0, "known"), ("view", 1, "known"), ("signup", 2, "known"), ("other", 3, "unknown")]
+    each = F.array(*[F.struct(F.lit(b).alias("button"), F.lit(i).alias("i"), F.lit(s).alias("state")) for b, i, s in wanted])
+    buttons = t.events.select("user_id").distinct().select("user_id", F.inline(each))
     return rel.page_assignment(buttons, seen, "user_id", "button", "at", "state", "i", F.lit(4), F.lit(2)).select("user_id", "button", "page")
 
 

@@ -127,13 +127,26 @@ def image_similarity(t: Tables) -> DataFrame:
     return pairs.select("vec_id", F.round(win.image_similarity(F.col("embedding"), F.col("p")), 8).alias("similarity"))
 
 
-@query()
+@query("""
+    WITH b AS (SELECT p_partkey // 8 AS page, p_partkey % 8 AS k, CAST(60 + p_partkey % 11 AS INT) AS x1, CAST(600 + p_partkey % 7 AS INT) AS x2,
+                      CAST(24 + p_partkey // 8 % 4 * 30 + p_partkey % 8 * 32 + CASE WHEN p_partkey % 8 > p_partkey // 8 % 9 THEN 40 ELSE 0 END AS INT) AS y1, p_size % 9 + 10 AS tall FROM part),
+         r AS (SELECT page, x1, y1, x2, CAST(y1 + tall - 1 AS INT) AS y2, (y1 + y1 + tall - 1) / 2.0 AS c FROM b),
+         g AS (SELECT *, lead(c) OVER (PARTITION BY page ORDER BY y1, x1) - c AS gap FROM r),
+         s AS (SELECT page, count(*) AS n, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL))[(count(gap) // 2) + 1] AS step, CAST(list_sort(list(y2 - y1 + 1))[count(*) // 2 + 1] AS INT) AS tall,
+                      list_sort(list(x1))[count(*) // 2 + 1] AS mx1, list_sort(list(x2))[count(*) // 2 + 1] AS mx2, min(c) AS first, max(c) AS last FROM g GROUP BY 1 HAVING count(*) BETWEEN 7 AND 9),
+         m AS (SELECT page, 'gap' AS why, CAST(trunc(c + gap / 2.0) AS INT) AS mid, s.* EXCLUDE (page) FROM g JOIN s USING (page) WHERE gap > 1.5 * step
+               UNION ALL SELECT page, 'top', CAST(trunc(first - step) AS INT), s.* EXCLUDE (page) FROM s WHERE first - 19 > 1.4 * step
+               UNION ALL SELECT page, 'low', CAST(trunc(last + step) AS INT), s.* EXCLUDE (page) FROM s WHERE 442 - last > 1.4 * step),
+         p AS (SELECT *, greatest(0, mid - greatest(8, tall // 2)) AS y1, least(479, mid + greatest(8, tall // 2)) AS y2 FROM m)
+    SELECT page, x1, y1, x2, y2, false AS made FROM r
+    UNION ALL SELECT page, mx1, CAST(y1 AS INT), mx2, CAST(y2 AS INT), true FROM p WHERE why = 'gap' OR why = 'top' AND y2 < 442 OR why = 'low' AND y1 > 19
+""")
 def fill_missing_bands(t: Tables) -> DataFrame:
-    """Regular positions with the missing ones put in."""
+    """Bands of regular spacing with the missing ones put in, between, above and below."""
     page, k = F.floor(F.col("p_partkey") / 8), F.col("p_partkey") % 8
-    gap = F.when(k > page % 7, 2).otherwise(0)  # two bands of each page are missing
-    rows = t.part.select(page.alias("page"), ((k + gap) * 30).alias("y"))
-    return win.fill_missing(rows, "page", "y", 7, 12)
+    y = 24 + page % 4 * 30 + k * 32 + F.when(k > page % 9, 40).otherwise(0)
+    rows = t.part.select(page.alias("page"), (60 + F.col("p_partkey") % 11).cast("int").alias("x1"), y.cast("int").alias("y1"), (600 + F.col("p_partkey") % 7).cast("int").alias("x2"), (y + F.col("p_size") % 9 + 9).cast("int").alias("y2"))
+    return win.fill_missing(rows, "page", 7, 9, 0, 480)
 
 
 @query("""
@@ -181,12 +194,12 @@ def suite_statistics(t: Tables) -> DataFrame:
 
 
 @query("""
-    WITH t AS (SELECT o_orderkey AS pos, o_custkey AS grp, o_totalprice AS start FROM orders WHERE o_totalprice > 1000)
+    WITH t AS (SELECT o_orderkey AS pos, o_custkey AS grp, o_totalprice AS start FROM orders)
     SELECT grp, pos FROM (SELECT *, coalesce(max(start) OVER (PARTITION BY grp ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t) WHERE start >= before
 """)
 def monotonic_starts(t: Tables) -> DataFrame:
     """Entries that do not go back behind an accepted one; what is refused never raises the bar."""
-    rows = t.orders.where("o_totalprice > 1000").select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("start"))
+    rows = t.orders.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("start"))
     before = F.max("start").over(win.over(["grp"], ["pos"], rows=(win.Window.unboundedPreceding, -1)))
     return rows.withColumn("before", F.coalesce(before, F.lit(0.0))).where("start >= before").select("grp", "pos")
 

@@ -7,9 +7,10 @@ import os
 import shutil
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 class ArtifactError(ValueError):
@@ -109,3 +110,56 @@ def rename_outputs(plan: list[tuple[str, str]], overwrite: bool) -> None:
 def inside(base: str, path: str) -> bool:
     root = os.path.realpath(base)
     return os.path.commonpath([root, os.path.realpath(path)]) == root
+
+
+# --- schemas -------------------------------------------------------------------------------------
+
+#: JSON Schema types of Spark types.
+JSON_TYPES = {"string": "string", "boolean": "boolean", "double": "number", "float": "number", "int": "integer", "bigint": "integer", "smallint": "integer", "tinyint": "integer"}
+
+
+def json_schema(kind: DataType, title: str | None = None) -> dict:
+    """The JSON Schema of a type: objects refuse other fields and require those that are not null."""
+    if isinstance(kind, StructType):
+        fields = {f.name: json_schema(f.dataType) if not f.nullable else {"anyOf": [json_schema(f.dataType), {"type": "null"}]} for f in kind.fields}
+        out = {"type": "object", "additionalProperties": False, "properties": fields, "required": [f.name for f in kind.fields if not f.nullable]}
+    elif isinstance(kind, ArrayType):
+        out = {"type": "array", "items": json_schema(kind.elementType)}
+    elif isinstance(kind, MapType):
+        out = {"type": "object", "additionalProperties": json_schema(kind.valueType)}
+    else:
+        out = {"type": JSON_TYPES[kind.simpleString()]}
+    return {"title": title, **out} if title else out
+
+
+def write_schemas(kinds: dict[str, StructType], folder: str) -> list[str]:
+    """A ``<name>.schema.json`` for every artefact type; returns the paths."""
+    os.makedirs(folder, exist_ok=True)
+    paths = []
+    for name, kind in sorted(kinds.items()):
+        paths.append(os.path.join(folder, f"{name}.schema.json"))
+        with open(paths[-1], "w", encoding="utf-8") as f:
+            json.dump(json_schema(kind, name), f, indent=2, ensure_ascii=False)
+    return paths
+
+
+def shape(value):
+    """The types of a JSON value: objects by key, a list by its first element."""
+    if isinstance(value, dict):
+        return {k: shape(v) for k, v in sorted(value.items())}
+    if isinstance(value, list):
+        return [shape(value[0])] if value else []
+    names = ((bool, "bool"), (int, "int"), (float, "float"), (str, "str"), (type(None), "null"))
+    return next(name for kind, name in names if isinstance(value, kind))
+
+
+@F.arrow_udf(StringType())
+def json_shape(documents: pa.Array) -> pa.Array:
+    """:func:`shape` of JSON texts, as JSON; null for null and for what is no JSON."""
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(shape(json.loads(text)))
+        except ValueError:
+            return None
+
+    return pa.array([one(t) for t in documents.to_pylist()], pa.string())

@@ -11,10 +11,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]")).appName("discweave-tests")
-        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -108,10 +108,41 @@ def test_pages_and_variance(spark, rows):
 
 
 def test_fill_missing(spark, rows):
-    ys = [0, 30, 60, 120, 150, 180, 210]
-    df = spark.createDataFrame([("p", y) for y in ys], "page string, y int")
-    got = rows(win.fill_missing(df, "page", "y", 7, 9).select("y", "made"))
-    assert got == [(0.0, False), (30.0, False), (60.0, False), (90.0, True), (120.0, False), (150.0, False), (180.0, False), (210.0, False), (240.0, True)]
+    bands = lambda page, ys: [(page, 50, y, 600, y + 19) for y in ys]
+    data = bands("a", [100, 130, 160, 220, 250, 280, 310]) + bands("b", [100, 130, 160]) + bands("c", [25, 85, 145, 205, 265, 325, 385, 415])
+    df = spark.createDataFrame(data, "page string, x1 int, y1 int, x2 int, y2 int")
+    made = [r[:5] for r in rows(win.fill_missing(df, "page", 7, 9, 0, 480)) if r[5]]
+    # in the gap, above and below; too few bands; nothing is missing where the frame leaves no room
+    assert made == [("a", 50, 69, 600, 89), ("a", 50, 189, 600, 209), ("a", 50, 339, 600, 359)]
+
+
+def test_boxes_and_images(spark):
+    one = lambda f, *v: tuple(spark.createDataFrame([v], "x int, y int, w int, h int").select(f(*map(F.col, "xywh")).alias("r")).first()[0])
+    fit = lambda *v: one(lambda *c: geo.normalise_to_image(*c, F.lit(500), F.lit(400)), *v)
+    assert fit(10, 10, 20, 20) == ("inside", 10, 10, 20, 20)
+    assert fit(100, 380, 60, 150) == ("cut", 100, 380, 60, 20) and fit(600, 10, 40, 20) == ("cut", 600, 10, 1, 20)
+    assert fit(0, 0, 590, 450) == ("cut", 0, 0, 500, 400) and fit(200, 0, 700, 1024) == ("scaled", 98, 0, 342, 400) and fit(500, 0, 600, 20) == ("kept", 500, 0, 600, 20)
+    room = lambda *v: one(lambda *c: geo.text_room(*c, F.lit(720)), *v)
+    assert room(400, 50, 200, 40) == ("right", 392, 50, 176, 40) and room(10, 250, 150, 30) == ("low", 10, 244, 132, 38)
+    assert room(10, 5, 150, 30) == ("high", 10, 0, 132, 43) and room(0, 5, 700, 30) == ("kept", 0, 5, 700, 30) and room(10, 5, 100, 30) == ("kept", 10, 5, 100, 30)
+
+
+def test_one_header_and_heights_within_the_frame(spark, rows):
+    df = spark.createDataFrame([("p", 1, 0, 10, 80), ("p", 2, 0, 5, 70), ("p", 3, 0, 90, 99), ("p", 4, 60, 1, 99), ("p", 5, 0, 60, 20)], "page string, pos long, x1 int, y1 int, x2 int")
+    got = rel.header_first(df, "page", "x1", "y1", "x2", 100, 100, "pos").orderBy("pos").select("pos", "bucket").collect()
+    ordered = rel.header_first(df.withColumnRenamed("pos", "box"), "page", "x1", "y1", "x2", 100, 100, "box")
+    assert [r.box for r in ordered.orderBy("pos").collect()] == [2, 1, 5, 3, 4] and len(got) == 5
+    tall = spark.createDataFrame([("p", k, y, y + h - 1) for k, (y, h) in enumerate([(0, 10), (50, 14), (90, 13), (130, 9), (200, 60), (290, 11)])], "page string, k int, y1 int, y2 int")
+    assert rows(rel.regularise_heights(tall, "page", "y1", "y2", 300).select("k", "new_y1", "new_y2")) == [(0, 0, 11), (1, 51, 62), (2, 90, 101), (3, 128, 139), (4, 200, 259), (5, 288, 299)]
+
+
+def test_blocks_grow_right_and_down_only(spark, rows):
+    cells = lambda *at: spark.createDataFrame([("p", k, x, y, x + 7, y + 7) for k, (x, y) in enumerate(at)], KIND)
+    assert rows(folds.block_merge(cells((0, 0), (8, 0), (0, 8)), "page", 8)) == [("p", 0, 0, 0, 15, 15)]
+    assert rows(folds.block_merge(cells((8, 0), (0, 0)), "page", 8)) == [("p", 0, 8, 0, 15, 7), ("p", 1, 0, 0, 15, 7)]  # a block to the left is not taken, and a first block stays free
+    tower = rows(folds.block_merge(cells(*((0, 8 * k) for k in range(20))), "page", 8))
+    assert tower[0] == ("p", 0, 0, 0, 7, 119) and len(tower) == 2
+    assert folds.block_merge(cells((0, 0)).where("false"), "page").count() == 0
 
 
 def test_best_candidate_leans_to_its_family(spark, rows):
