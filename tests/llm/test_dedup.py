@@ -126,3 +126,11 @@ def test_near_query_and_odd_rows(spark, docs, odd):
     assert minhash.near_duplicates(odd.where("false")).count() == 0
     short = docs([(1, "one two"), (2, "ONE  two"), (3, "one two three")])
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(short, width=4).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_the_longest_spelling_stays_also_where_ids_are_shared(spark, docs):
+    data = [(6, "a b"), (6, "a  b   "), (6, "ab"), (7, "a b"), (8, "x"), (8, "x"), (None, " y"), (None, "y")]
+    assert sorted((r.doc_id or 0, r.text) for r in exact.keep_first(docs(data)).collect()) == [(0, " y"), (6, "a  b   "), (8, "x")]
+    table = spark.createDataFrame([(1, "a", "p"), (1, "a", "q"), (2, "b", "r")], "doc_id long, text string, best string")
+    kept = exact.keep_first(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
