@@ -228,8 +228,8 @@ class Codec:
 
     def forget(self) -> None:
         """Drop what is remembered of words; the compiled tables stay."""
-        self.words = Remembered(self._word, 150_000)
-        self.chunks = Remembered(self._chunk, 120_000)
+        self.words = Remembered(self._word, 60_000)
+        self.chunks = Remembered(self._chunk, 60_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("words", "chunks")}
@@ -283,7 +283,9 @@ class Codec:
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """Compiled on the driver, once; workers get the finished tables."""
-    return Codec(path)
+    own = Codec(path)
+    tidy()
+    return own
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_text: bool = True) -> DataFrame:
@@ -323,6 +325,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 texts = whole(batch.column(1))
                 for a, b in row_groups(texts):
                     yield rows(own, batch.column(0)[a:b], texts[a:b])
+                batch = texts = None
+                tidy()
         finally:
             own.forget()
             tidy()

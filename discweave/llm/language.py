@@ -159,6 +159,8 @@ def learn(docs: DataFrame, rows: F.Column, text_col: str = "text", lang_col: str
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
+            seen = batch = None
+            tidy()
 
     sample = known.where(F.col("at") < share).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     counted = sample.groupBy("word", "lang").agg(F.sum("n").alias("n"))
@@ -166,7 +168,10 @@ def learn(docs: DataFrame, rows: F.Column, text_col: str = "text", lang_col: str
     counts: dict[str, dict[str, int]] = {row["lang"]: {} for row in totals}
     for lang, word, n in kept.select("lang", "word", "n").toArrow().to_pandas().itertuples(index=False):
         counts[lang][word] = n
-    return fit(counts, least)
+    model = fit(counts, least)
+    del counts
+    tidy()
+    return model
 
 
 class Scorer:
@@ -245,8 +250,8 @@ def identify(docs: DataFrame, model: Model, *keep: F.Column, text_col: str = "te
                 names, scores = score(texts[a:b])
                 columns = [*(c[a:b] for c in batch.columns[:-1]), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kinds.names, "lang_pred", "score"])
-        del score
-        tidy()
+            batch = texts = columns = None
+            tidy()
 
     return inner.mapInArrow(run, type(kinds)(kinds.fields).add("lang_pred", StringType()).add("score", DoubleType()))
 
@@ -293,7 +298,7 @@ def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id"
             for a, b in row_groups(texts):
                 names, scores = score(texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
-        del score
-        tidy()
+            batch = texts = None
+            tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -194,7 +194,8 @@ def sign(texts: DataFrame, width: int) -> DataFrame:
                 signatures = [signature(s).tobytes() if len(s) else None for s in sets]
                 columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "n", "set", "signature"])
-        tidy()
+            batch = columns = sets = None
+            tidy()
 
     return texts.mapInArrow(run, "id long, mark long, n long, set binary, signature binary")
 
@@ -235,8 +236,9 @@ def strays_and_all(members: DataFrame, group: str, blocks: F.Column) -> DataFram
     return placed.select(group, "cls", "label", F.explode(tasks).alias("t")).select(group, "t.a", "t.b", "t.stray", "cls", "label")
 
 
-def like_strays(tasks: DataFrame, percent: int) -> DataFrame:
-    """(u, v): labels that rows (group, a, b, stray, cls, label, signature) of a task join by signature."""
+def like_strays(tasks: DataFrame, agree: Callable) -> DataFrame:
+    """(u, v): labels that rows (group, a, b, stray, cls, label, signature) of a task join by signature.
+    ``agree(signatures)`` gives a function that tells which of them a signature is like."""
 
     def run(batches):
         for rows in grouped(batches, 3):
@@ -246,21 +248,48 @@ def like_strays(tasks: DataFrame, percent: int) -> DataFrame:
                 continue
             names = sorted({x[0] for x in [*strays.values(), *rest.values()]})
             place = {x: k for k, x in enumerate(names)}
-            table, labels = signatures_of([x[1] for x in rest.values()]), np.array([place[x[0]] for x in rest.values()])
+            like, labels = agree([x[1] for x in rest.values()]), np.array([place[x[0]] for x in rest.values()])
             forest, roots, links = Forest(len(names)), np.arange(len(names)), []
             for label, signed in strays.values():
                 others = np.flatnonzero(roots[labels] != roots[place[label]])
-                near = others[(table[others] == np.frombuffer(signed, np.uint16)).sum(axis=1) >= enough(percent)]
+                near = others[like(signed, others)]
                 fresh = [(place[label], k) for k in np.unique(labels[near]).tolist() if forest.join(place[label], k)]
                 links += [(names[x], names[y]) for x, y in fresh]
                 if fresh:
                     roots = np.array([forest.root(x) for x in range(len(names))])
             if links:
                 yield links_batch(links)
+        tidy()
 
     return tasks.mapInArrow(run, "u long, v long")
 
 
+def agreement(percent: int) -> Callable:
+    """Of MinHash signatures."""
+    def agree(column: list[bytes]) -> Callable:
+        table = signatures_of(column)
+        return lambda signed, others: (table[others] == np.frombuffer(signed, np.uint16)).sum(axis=1) >= enough(percent)
+
+    return agree
+
+
+def settled(work: Workspace, shared: DataFrame, signatures: DataFrame, clusters: DataFrame, agree: Callable) -> DataFrame:
+    """``clusters`` (node, component) grown until every two members of a bucket with like signatures are
+    in one. ``shared``: (bucket, cls) of the buckets that have several members."""
+    inside = labelled(shared.select("bucket", "cls"), clusters)
+    open_ = inside.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
+    open_ = work.put(open_.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")  # equal buckets once
+    if open_.isEmpty():
+        return clusters
+    blocks = F.greatest(F.ceil(F.col("n") / TASK_CLASSES), F.lit(1)).cast("int")
+    tasks = strays_and_all(inside.join(open_, "bucket").withColumn("weight", F.lit(1)), "bucket", blocks).join(signatures, "cls")
+    tasks = tasks.select("bucket", "a", "b", "stray", "cls", "label", "signature").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    joined = star_components(work.put(like_strays(tasks, agree), "joined"))
+    every = labelled(shared.select("cls").distinct(), clusters)
+    every = labelled(every.withColumnRenamed("label", "old"), joined, "old").select(F.col("cls").alias("node"), F.col("label").alias("component"))
+    return every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
+
+
 def confirm(tasks: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) between classes of a task: rows group, a, b, stray, cls, label, set,
     signature, text. Where no row is a stray all pairs are compared, else those with one."""
@@ -345,18 +374,7 @@ def clustered(work: Workspace, classes: DataFrame, percent: int) -> DataFrame:
     edges = shared.where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
     pairs = edges.join(signatures.withColumnsRenamed({"cls": "u", "signature": "own"}), "u").join(signatures.withColumnsRenamed({"cls": "v", "signature": "other"}), "v")
     clusters = star_components(work.put(alike(pairs.select("u", "v", "own", "other"), percent), "edges"))
-
-    inside = labelled(shared.select("bucket", "cls"), clusters)
-    open_ = inside.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y"))
-    open_ = work.put(open_.where("low <> high").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")  # equal buckets once
-    if not open_.isEmpty():
-        blocks = F.greatest(F.ceil(F.col("n") / TASK_CLASSES), F.lit(1)).cast("int")
-        tasks = strays_and_all(inside.join(open_, "bucket").withColumn("weight", F.lit(1)), "bucket", blocks).join(signatures, "cls")
-        tasks = tasks.select("bucket", "a", "b", "stray", "cls", "label", "signature").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-        joined = star_components(work.put(like_strays(tasks, percent), "joined"))
-        every = labelled(shared.select("cls").distinct(), clusters)
-        every = labelled(every.withColumnRenamed("label", "old"), joined, "old").select(F.col("cls").alias("node"), F.col("label").alias("component"))
-        clusters = every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component")
+    clusters = settled(work, shared, signatures, clusters, agreement(percent))
     return clusters.withColumnsRenamed({"node": "cls", "component": "cluster"}).join(classes, "cls").select("cls", "cluster", F.col("n").alias("weight"), "id", "mark", "set", "signature")
 
 

@@ -77,9 +77,14 @@ class Mixture:
     epochs: dict
 
 
+#: Blocks whose order one task settles.
+CELL_BLOCKS = 1000
+
+
 def word_count(text: F.Column) -> F.Column:
-    """Words between ASCII white space."""
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Words between ASCII white space; a longer one counts for every 16 characters begun, so that
+    scripts without spaces weigh by their length."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]{1,16}")).cast("long")
 
 
 def source_key(source: F.Column) -> F.Column:
@@ -109,13 +114,18 @@ def schedule(docs: DataFrame, target_entropy: float | None = None, max_repeats:
     exponent = bisect_exponent(tokens, target_entropy, max_repeats, budget)
     weights = tempered(tokens, exponent)
     epochs = repeats(tokens, weights, budget) | {s: 1.0 for s, t in tokens.items() if not t}
-    known = spark.createDataFrame([(s, max(1, math.ceil(t / block_tokens)), float(epochs[s]), t) for s, t in tokens.items()], "key string, blocks long, epochs double, total long")
+    counts = {s: max(1, math.ceil(t / block_tokens)) for s, t in tokens.items()}
+    known = spark.createDataFrame([(s, n, max(1, math.ceil(n / CELL_BLOCKS)), float(epochs[s]), tokens[s]) for s, n in counts.items()], "key string, blocks long, cells long, epochs double, total long")
     slim = in_blocks(measured, known)
     sized = slim.groupBy("key", "block").agg(F.sum("tokens").alias("size")).join(F.broadcast(known.drop("blocks")), "key")
     last = F.greatest(F.ceil(F.col("epochs") - 1e-9).cast("int"), F.lit(1)) - 1
-    turns = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    order = Window.partitionBy("key", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block")
-    turns = turns.withColumn("before", F.sum("size").over(order) - F.col("size"))
+    turns = sized.withColumn("epoch", F.explode(F.sequence(F.lit(0), last))).withColumn("rank", F.xxhash64(F.lit(seed), "epoch", "block"))
+    # the tokens before a block: those of the cells before its cell, and of the blocks before it in there
+    turns = turns.withColumn("cell", F.floor((F.col("rank") / float(1 << 64) + 0.5) * F.col("cells")))
+    cells = turns.groupBy("key", "epoch", "cell").agg(F.sum("size").alias("held"))
+    cells = cells.withColumn("earlier", F.sum("held").over(Window.partitionBy("key", "epoch").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).drop("held")
+    order = Window.partitionBy("key", "epoch", "cell").orderBy("rank", "block")
+    turns = turns.join(cells, ["key", "epoch", "cell"]).withColumn("before", F.col("earlier") + F.sum("size").over(order) - F.col("size"))
     share = F.least(F.lit(1.0), F.col("epochs") - F.col("epoch"))
     turns = turns.withColumn("room", F.round(share * F.col("total")).cast("long") - F.col("before"))
     turns = turns.withColumn("at", (F.col("epoch") + (F.col("before") + F.col("size") / 2) / F.greatest("total", F.lit(1))) / F.greatest("epochs", F.lit(1e-9)))

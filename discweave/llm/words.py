@@ -16,11 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is a group of its own.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def tidy() -> None:
-    """Give what a task has freed back to the system: workers live on, and their memory is counted."""
+    """Give freed memory back to the system, after a batch or a task: workers live on."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
