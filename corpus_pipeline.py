@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE ids of every row that is left, and the text decoded from them."""
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """BPE ids of every row that is left, in the order of the stream, and their digests."""
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, keep_text=False)
 
 
 STAGES = [
