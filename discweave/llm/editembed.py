@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discweave.llm.common import key_splits, materialize, shard_of, text_or_empty
+from discweave.llm.common import SALTS, Workspace, materialize, plan_shards, row_salt, shard_of, text_or_empty, with_filter
+from discweave.llm.components import star_components
+from discweave.llm.minhash import labelled, settled
+from discweave.llm.words import tidy
 
 CLASSES, PERIOD = 128, 1 << 13
 PER_OCTAVE, OCTAVES = 64, 34
@@ -259,35 +262,127 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8, band: int = 8) -> Data
     return pairs.unionByName(copies).groupBy("doc_id", "head").agg(F.max("likeness").alias("likeness"))
 
 
-def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20) -> DataFrame:
+#: Digits of the bands that the query's candidates share: one of eight in every octave.
+BAND_PLACES = [PER_OCTAVE * o + 8 * (3 * o % 8) for o in range(OCTAVES + 1)]
+
+
+def buckets_of(found: np.ndarray) -> list[int]:
+    """A number for the digits of each band that is taken, and its octave.
+
+    Texts of four octaves and more take those from the third on, as openings are shared by unlike
+    texts; shorter ones their last two. So texts of about one length have octaves in common.
+    """
+    whole = [(o, p) for o, p in enumerate(BAND_PLACES) if p + 8 <= len(found)]
+    taken = whole[min(2, max(0, len(whole) - 2)) :]
+    return [(o << 32) | int.from_bytes(bytes(found[p : p + 8 : 2] << 4 | found[p + 1 : p + 8 : 2]), "big") for o, p in taken]
+
+
+def print_mark(found: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def near_notes(own: DataFrame, threshold: float) -> DataFrame:
+    """(k, tie, near) of rows (k, tie, id, text): the smallest id that near fingerprints reach.
+
+    Documents of one fingerprint are one class. Classes whose fingerprints have the same band in
+    some octave are in one bucket; every two of a bucket that are alike by ``threshold`` or more
+    are linked: members meet the bucket's smallest class, and those outside its main cluster meet
+    all others, in blocks, as in :mod:`minhash`.
+    """
+    work = Workspace(own.sparkSession, "edit")
+
+    def marks(batches):
+        for batch in batches:
+            for block in in_blocks(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                found = fingerprints_of([r[-1] for r in block])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in block], pa.int64()) for k in range(3)] + [pa.array(map(print_mark, found), pa.int64()), pa.array(map(buckets_of, found), pa.list_(pa.int64())), pa.array([f.tobytes() for f in found], pa.binary())], names=["k", "tie", "id", "cls", "buckets", "signature"])
+            batch = block = found = None
+            tidy()
+
+    prints = work.put(own.select("k", "tie", "id", "text").mapInArrow(marks, "k long, tie long, id long, cls long, buckets array<long>, signature binary"), "prints")
+    members = prints.select("cls", F.explode("buckets").alias("bucket")).distinct()
+    heads = members.groupBy("bucket").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    shared = work.put(members.join(heads, "bucket").select("bucket", "cls", "head"), "shared")
+
+    # the fingerprints of the classes that share a bucket
+    found = shared.select("cls").distinct()
+    signatures = with_filter(prints.select("cls", "signature"), F.col("cls"), found, "cls").join(found, "cls", "left_semi")
+    signatures = work.put(signatures.groupBy("cls").agg(F.any_value("signature").alias("signature")), "signatures")
+    edges = shared.where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
+    pairs = edges.join(signatures.withColumnsRenamed({"cls": "u", "signature": "own"}), "u").join(signatures.withColumnsRenamed({"cls": "v", "signature": "other"}), "v")
+
+    def alike(batches):
+        for batch in batches:
+            near = [likeness(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near, pa.bool_())) for k in (0, 1)], names=["u", "v"])
+
+    def agree(column: list[bytes]):
+        sizes = np.array([len(x) for x in column])
+        table = np.full((len(column), int(sizes.max())), 255, np.uint8)  # no digit
+        for row, x in zip(table, column, strict=True):
+            row[: len(x)] = np.frombuffer(x, np.uint8)
+        total = np.concatenate([[0.0], np.cumsum(WEIGHTS)])
+
+        def like(one: bytes, others: np.ndarray) -> np.ndarray:
+            own = np.frombuffer(one, np.uint8)[: table.shape[1]]
+            same = (table[others, : len(own)] == own) @ WEIGHTS[: len(own)] / total[np.maximum(sizes[others], len(one))]
+            return (same - 1 / 16) * 16 / 15 >= threshold
+
+        return like
+
+    clusters = star_components(work.put(pairs.select("u", "v", "own", "other").mapInArrow(alike, "u long, v long"), "edges"))
+    clusters = settled(work, shared, signatures, clusters, agree)
+    labels = labelled(prints.groupBy("cls").agg(F.min("id").alias("id")), clusters)
+    labels = labels.join(labels.groupBy("label").agg(F.min("id").alias("near")), "label").select("cls", "near")
+    notes = work.put(prints.select("k", "tie", "cls").distinct().join(labels, "cls").select("k", "tie", "near"), "notes")
+    work.drop("prints", "shared", "signatures", "edges")
+    return notes
+
+
+def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 32 << 20, near: float | None = None) -> DataFrame:
     """Each document's fingerprint against that of an edited text and of the next document.
 
     The next document is the one with the next smaller id, that of the last the first. The
     edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
-    all) of the next document. Rows that share an id follow each other by text; null ids come
-    last. Null texts are empty, and two empty texts are alike. An only row is its own next.
-    Other columns are not read; an empty table gives no rows.
+    all) of the next document. Rows that share an id follow each other by a hash of their text;
+    null ids come last. Null texts are empty, and two empty texts are alike. An only row is its
+    own next. Other columns are not read; an empty table gives no rows.
+
+    With ``near``, near_class is the smallest id that links of fingerprints alike by ``near`` or more
+    reach (see :func:`near_notes`): that of a document without such links is its own, or the
+    smallest of its fingerprint; null if none of them has an id.
 
-    Documents are dealt by ranges of ids in one shuffle; the first of each shard goes to the
-    shard before it as well, so no task needs more than its own rows.
+    Documents are dealt by ranges of ids in one shuffle, those that share an id to several
+    shards if need be; the first text of each shard goes to the shard before it as well, so no
+    task needs more than its own rows.
     """
     lowest = F.lit(-(1 << 63)).cast("long")
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    splits = key_splits(own, "k", F.octet_length("text"), shard_bytes)
-    sharded = own.withColumn("shard", shard_of("k", splits))
-    heads = sorted(tuple(r) for r in sharded.groupBy("shard").agg(F.max("k")).collect())  # one row a shard
-    to = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
-    before = docs.sparkSession.createDataFrame(list(to.items()) or [], "k long, before int")
-    copies = F.when(F.col("before").isNull(), F.array(F.struct(F.col("shard").alias("task"), F.lit(0).alias("tail")))).otherwise(
-        F.array(F.struct(F.col("shard").alias("task"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("task"), F.lit(1).alias("tail")))
-    )
-    spread = sharded.join(F.broadcast(before), "k", "left").select("k", "id", "text", F.explode(copies).alias("c")).select("k", "id", "c.task", "c.tail", "text")
-    dealt = spread.repartitionById(len(splits) + 1, F.col("task")).sortWithinPartitions("task", "tail", F.col("k").desc(), "text")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("k"), F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    shards = plan_shards(own, "k", F.octet_length("text"), shard_bytes, F.col("tie"), salted=True)
+    sharded = own.withColumn("task", shard_of(shards, F.col("k"), F.col("tie"), row_salt()))
+    heads = sharded.groupBy("task").agg(F.max(F.struct("k", "tie")).alias("h")).select("task", "h.k", "h.tie").orderBy("task").collect()  # a row a shard
+    followed = [(h["k"], h["tie"], heads[(i + 1) % len(heads)]["task"]) for i, h in enumerate(heads)]
+    after = F.broadcast(docs.sparkSession.createDataFrame(followed, "k long, tie long, task int"))
+    tails = own.join(after, ["k", "tie"]).groupBy("task", "k", "tie").agg(F.max("text").alias("text"))
+    nothing = F.lit(None).cast("long")
+    tails = tails.select("k", nothing.alias("id"), "text", "tie", "task", F.lit(1).alias("tail"), F.lit(1).alias("kind"), nothing.alias("near"))
+    spread = sharded.withColumns({"tail": F.lit(0), "kind": F.lit(1), "near": nothing}).unionByName(tails)
+    if near is not None:  # a note comes right before the rows it is about, in every shard that has some
+        ends = [shard_of(shards, F.col("k"), F.col("tie"), F.lit(salt).cast("long")) for salt in (0, SALTS - 1)]
+        notes = near_notes(own, near).withColumn("task", F.explode(F.sequence(*ends)))
+        spread = spread.unionByName(notes.select("k", nothing.alias("id"), F.lit("").alias("text"), "tie", "task", F.lit(0).alias("tail"), F.lit(0).alias("kind"), "near"))
+    spread = spread.repartitionById(len(shards), F.col("task"))
+    dealt = spread.sortWithinPartitions("task", "tail", F.desc("k"), F.desc("tie"), "kind", F.desc("text")).select("id", "task", "tail", "kind", "near", "text")
 
     def run(batches):
         def rows():
+            note = None
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+                for key, task, tail, kind, value, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind:
+                        yield key, task, tail, note, text
+                    else:
+                        note = value
 
         held: list[tuple] = []
         for block in in_blocks(rows()):
@@ -296,13 +391,14 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if (out := settle(held)) is not None:
                     yield out
                 held = held[-1:]
+        tidy()
 
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
         """Results of all rows that are followed by one of the same task, tails left out."""
         at = [i for i in range(len(rows) - 1) if rows[i][2] == 0 and rows[i + 1][1] == rows[i][1]]
         if not at:
             return None
-        texts = [r[3] for r in rows]
+        texts = [r[-1] for r in rows]
         codes = [code_points(t) for t in texts]
         steps = walk(codes, [0] * len(codes))
         kept = {i: len(codes[i]) - len(codes[i]) // 2 for i in at}
@@ -319,6 +415,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        if near is not None:
+            arrays, names = [*arrays, pa.array([rows[i][3] for i in at], pa.int64())], [*names, "near_class"]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double" + ", near_class long" * (near is not None))

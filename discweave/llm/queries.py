@@ -26,7 +26,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(table(spark, sf_dir, "documents"))
+    return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editembed.edited_likeness(table(spark, sf_dir, "documents"))
+    return editembed.edited_likeness(table(spark, sf_dir, "documents"), near=0.8)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
