@@ -26,16 +26,27 @@ from discweave.llm.common import materialize, text_or_empty
 from discweave.llm.language import crc_class
 from discweave.llm.minhash import near_duplicates
 
-#: Letters of other scripts that look like Latin ones, and digits that stand for letters.
+#: Letters that look like plain Latin ones (lower case, as texts are lowered first):
+#: Cyrillic, Greek, Armenian, small capitals, phonetic letters; and digits that stand for letters.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "з": "e", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ь": "b",
+    "ё": "e", "ӏ": "l", "ү": "y", "ѵ": "v", "ѡ": "w", "ҫ": "c", "қ": "k", "ң": "h", "ҳ": "x", "ԍ": "g", "ӓ": "a", "ӧ": "o", "ӱ": "y", "є": "e", "ӡ": "e",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʋ": "v", "ƅ": "b", "ɪ": "i", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
+    "γ": "y", "ϲ": "c", "ϳ": "j", "ά": "a", "έ": "e", "ή": "n", "ί": "i", "ό": "o", "ύ": "u", "ώ": "w", "ϊ": "i", "ϋ": "u",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ք": "p", "յ": "j", "լ": "l",
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z",
+    "ı": "i", "ɑ": "a", "ɓ": "b", "ƅ": "b", "ƈ": "c", "ɗ": "d", "ɛ": "e", "ƒ": "f", "ɡ": "g", "ɦ": "h", "ɨ": "i", "ɩ": "i", "ʝ": "j", "ƙ": "k", "ɭ": "l", "ɱ": "m", "ɲ": "n", "ɵ": "o", "ƥ": "p", "ɾ": "r", "ʂ": "s", "ƭ": "t", "ʉ": "u", "ʋ": "v", "ʍ": "w", "ƴ": "y", "ʐ": "z",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
+DIGITS = {"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l"}
-#: Phrases in which a lexicon word is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "idiot proof")
+#: Set phrases in which a word of abuse is harmless.
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash truck", "trash day", "garbage can", "garbage bin", "garbage bag", "garbage truck", "garbage collection", "garbage collector", "garbage in garbage out",
+    "idiot proof", "fool proof", "fools gold", "april fools", "stupid simple", "keep it simple stupid", "dumb bell", "dumb bells", "dumb waiter", "dumb terminal", "dummy variable", "crash test dummy",
+    "clown fish", "clown car", "circus clown", "class clown", "killer whale", "killer app", "kill switch", "skill set", "mad cow disease", "mad hatter", "crazy golf", "crazy quilt", "sick leave", "sick day", "sick pay",
+    "ugly duckling", "booby trap", "booby prize", "blue footed booby", "shuttle cock", "weather cock", "cock pit", "guinea pig", "pig iron", "piggy bank", "lab rat", "rat race", "snake oil", "pond scum", "loser bracket", "losers bracket",
+    "freak accident", "freak wave", "lame duck", "lazy evaluation", "lazy susan", "moby dick", "spotted dick", "bird brain teaser", "hate speech policy", "vacuum suction", "dirty laundry", "dirty bit", "bloody mary", "hell or high water",
+)
 TRAILING = re.compile(r"[@$!|€£]+(?![^\W_])")
 
 
@@ -106,11 +117,13 @@ class Lexicon:
         found = [(end - size + 1, end, weight) for end, (size, weight) in self.search.iter(folded)]
         if not found:
             return 0.0, 0.0
-        excused = [(a, b) for a, b, weight in found if not weight]
-        hits = [(a, b, w) for a, b, w in found if w and not any(x <= a and b <= y for x, y in excused)]
         best: dict[int, float] = {}
-        for a, _, w in hits:  # a word counts once, however many entries it matches
-            best[a] = max(best.get(a, 0.0), w)
+        reach = -1  # how far the exceptions go that begin at or before the hit
+        for a, _, b, weight in sorted((a, weight > 0, b, weight) for a, b, weight in found):
+            if not weight:
+                reach = max(reach, b)
+            elif b > reach:  # else inside an exception; a word counts once, however many entries it matches
+                best[a] = max(best.get(a, 0.0), weight)
         total = sum(best.values())
         return math.log1p(total), math.log1p(100 * total / max(20, folded.count(" ")))
 
