@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discweave.llm import files
-from discweave.llm.common import key_splits, materialize, shard_of, text_or_empty
+from discweave.llm.common import Workspace, plan_shards, shard_of, text_or_empty
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -59,7 +59,8 @@ def write_archives(pages: DataFrame, folder: str, key_col: str = "page_id", payl
     Of rows with equal payloads of at least ``least_revisit`` bytes the one with the smallest
     key is the response and the others revisit it; among rows that also share that key the
     first of them is the response. Smaller payloads are all responses. A null payload is
-    empty; null keys sort last and lose to any other; a null url gives no target header.
+    empty; null keys sort last and lose to any other; a null url gives no target header. Rows
+    that share a key are ordered by a hash of their payload and may lie in several shards.
     Columns other than these three are not read. No rows give no files.
 
     One shuffle moves the payloads. Which rows revisit is decided on digests alone, and those
@@ -69,15 +70,17 @@ def write_archives(pages: DataFrame, folder: str, key_col: str = "page_id", payl
         F.col(key_col).cast("long").alias("key"),
         text_or_empty(payload_col).cast("binary").alias("payload"),
         F.col(url_col).cast("string").alias("url"),
-    ).withColumn("digest", F.sha2("payload", 256))
-    slim = own.where(F.octet_length("payload") >= least_revisit).select("key", "digest")
+    ).withColumn("digest", F.sha2("payload", 256)).withColumn("tie", F.xxhash64("payload"))
+    work = Workspace(pages.sparkSession, "warc")
+    slim = own.where(F.octet_length("payload") >= least_revisit).select("key", "digest", "tie")
     shared = slim.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").drop("n")
-    decided = materialize(slim.join(shared, "digest").groupBy("key", "digest").agg(F.min("first").alias("first")), "warc-revisits")
-    splits = key_splits(own, "key", F.octet_length("payload") + 300, shard_bytes)
-    rows = own.select("key", "digest", F.lit(1).alias("kind"), "payload", "url", F.lit(None).cast("long").alias("first"))
-    notes = decided.select("key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("url"), "first")
-    both = rows.unionByName(notes).withColumn("shard", shard_of("key", splits))
-    dealt = both.repartitionById(len(splits) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "digest", "kind", F.col("url").asc_nulls_first())
+    decided = work.put(slim.join(shared, "digest").groupBy("key", "digest", "tie").agg(F.min("first").alias("first")), "revisits")
+    shards = plan_shards(own, "key", F.octet_length("payload") + 300, shard_bytes, F.col("tie"))
+    roll_bytes = max(roll_bytes, int(shards.total / (files.MOST_FILES - len(shards))))
+    rows = own.select("key", "digest", F.lit(1).alias("kind"), "payload", "url", F.lit(None).cast("long").alias("first"), "tie")
+    notes = decided.select("key", "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("string").alias("url"), "first", "tie")
+    both = rows.unionByName(notes).withColumn("shard", shard_of(shards, F.col("key"), F.col("tie")))
+    dealt = both.repartitionById(len(shards), F.col("shard")).sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "tie", "digest", "kind", F.col("url").asc_nulls_first()).drop("tie")
 
     def write(batches):
         sink, shard, part, records, responses = None, None, 0, 0, 0
@@ -113,7 +116,9 @@ def write_archives(pages: DataFrame, folder: str, key_col: str = "page_id", payl
             yield done()
 
     written = dealt.mapInArrow(write, "name string, temporary string, shard int, part int, records long, responses long, bytes long")
-    return files.commit(written, folder, ["shard", "part"])
+    entries = files.commit(written, folder, ["shard", "part"])
+    work.drop("revisits")
+    return entries
 
 
 def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
