@@ -73,3 +73,20 @@ def test_whole_table_and_odd_rows(spark, library, odd):
 def test_ids_themselves(docs, library):
     r = bpe.encode_documents(docs([(1, "Hello there")]), PATH, keep_ids=True).first()
     assert r.ids == library.encode("Hello there", add_special_tokens=False).ids and r.decoded == "hello</w> there</w>"
+
+
+def test_long_words_take_linear_time(library):
+    import time
+
+    own = bpe.Codec(PATH)
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijé") for _ in range(20_000)), "a" * 5000, "日本" * 2000, "don't " * 3000 + "x" * 9000):
+        ids, decoded = own.encode_decode(text)
+        assert (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()) == as_library(library, text)
+    took = []
+    for n in (250_000, 1_000_000):
+        word = "".join(rng.choice("abcdefghij") for _ in range(n))
+        began = time.process_time()
+        own.encode_decode(word)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5

@@ -104,3 +104,30 @@ def test_warc_reader_refuses_damage():
     assert len(list(warc.read_records(iter([good[:10], good[10:], good])))) == 2
     with pytest.raises(ValueError, match="ends within"):
         list(warc.read_records(iter([good[:-5]])))
+
+
+def test_one_id_in_many_shards(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same words in all").otherwise(F.concat(F.lit("number "), F.col("id").cast("string"))).alias("text"))
+    table = table.unionByName(spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text")))
+    folder = scratch(spark, "t")
+    entries = bitplane.write_ids(table, folder, BYTES, shard_bytes=100_000)
+    assert len(entries) > 8 and max(e["n_docs"] for e in entries) < 25_000 and sum(e["n_docs"] for e in entries) == 80_000
+    rows = bitplane.read_ids(spark, folder, entries).orderBy("start").collect()
+    assert [r.start for r in rows[1:]] == [r.start + r.n_tokens for r in rows[:-1]]
+    assert [r.doc_id for r in rows] == [7] * 60_000 + [None] * 20_000
+    same = np.array([*Tokenizer.from_file(BYTES).encode("the same words in all", add_special_tokens=False).ids, 0], "<u4")
+    assert sum(r.ids_crc32 == zlib.crc32(same.tobytes()) for r in rows) == 30_000
+
+
+def test_ranks_among_splits():
+    import random
+
+    from discweave.llm.common import rank
+
+    rng = random.Random(1)
+    points = sorted({tuple(rng.randint(0, 3) for _ in range(4)) for _ in range(40)})
+    rows = [tuple(rng.randint(0, 4) for _ in range(4)) for _ in range(500)]
+    got = rank([np.array(c) for c in zip(*points, strict=True)], [np.array(c) for c in zip(*rows, strict=True)])
+    assert got.tolist() == [sum(p <= r for p in points) for r in rows]

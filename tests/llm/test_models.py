@@ -290,3 +290,169 @@ def test_pipeline_of_nothing(spark, docs):
     for _, stage in cp.STAGES:
         table = stage(spark, table, "")
     assert table.count() == 0
+
+
+def test_licence_rules_by_brute_force(docs):
+    rng = random.Random(11)
+    names, noise = sorted(licences.SENTENCES), ["Some prose here", "Copyright 2020 A. Author", "Licensed", "THE SOFTWARE"]
+    data, want = [], {}
+    for k in range(120):
+        planted = [rng.choice([None, *names]) for _ in range(rng.randint(0, 6))]
+        for licence_, sequence in rng.sample(licences.RULES, 2):
+            planted += sequence + [None] * rng.randint(0, 1)
+        breaks = lambda s: "".join(rng.choice(["\n", "\n  # ", " "]) if c == " " and rng.random() < 0.2 else c for c in s)
+        data.append((k, "\n".join(rng.choice(noise) if p is None else breaks(licences.SENTENCES[p]) for p in planted)))
+        found, at = [], 0
+        while at < len(planted):  # the longest rule that the sentences from here on are, the first of equals
+            fits = [(len(s), -i, n) for i, (n, s) in enumerate(licences.RULES) if planted[at : at + len(s)] == s]
+            if fits:
+                found.append(max(fits)[2])
+            at += max(fits)[0] if fits else 1
+        want[k] = ";".join(found)
+    got = {r.doc_id: r.licences for r in licences.scan_licences(docs(data)).collect()}
+    assert got == want and len({x for w in want.values() for x in w.split(";")}) > 30
+
+
+def test_exceptions_take_linear_time_and_cover_what_they_hold():
+    import time
+
+    lexicon = toxicity.Lexicon({" trash ": 4.0, " can ": 1.0, " clown ": 2.0})
+    assert lexicon.evidence("the trash can, and a clown fish") == (0.0, 0.0)
+    assert lexicon.evidence("trash can trash")[0] == pytest.approx(math.log1p(4.0)) and lexicon.evidence("can trash")[0] == pytest.approx(math.log1p(5.0))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert lexicon.evidence("trash can " * n) == (0.0, 0.0)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_scores_by_brute_force():
+    rng = random.Random(2)
+    weights = {" vile ": 3.0, " foul": 2.0, " trash ": 1.5, " scum ": 2.5}
+    lexicon = toxicity.Lexicon(weights, curve=(-4.0, 2.0, 1.0))
+    for _ in range(300):
+        text = " ".join(rng.choice(["vile", "foully", "foul", "trash", "trash can", "pond scum", "scum", "fine", "v1le", "word"]) for _ in range(rng.randint(0, 30)))
+        words = toxicity.fold(text).split()
+        total, k = 0.0, 0
+        while k < len(words):
+            if words[k : k + 2] in (["trash", "can"], ["pond", "scum"]):
+                k += 2
+                continue
+            total += {"vile": 3.0, "foully": 2.0, "foul": 2.0, "trash": 1.5, "scum": 2.5}.get(words[k], 0.0)
+            k += 1
+        a, b = math.log1p(total), math.log1p(100 * total / max(20, len(words) + 1)) if total else 0.0
+        assert lexicon.score(text) == pytest.approx(1 / (1 + math.exp(-(-4 + 2 * a + b))))
+
+
+def test_near_classes_by_brute_force(docs):
+    """Against all pairs that share a band, joined by hand; copies, edits, strays and short texts."""
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    data, k = [], 0
+    for _ in range(6):
+        base = line(900)
+        for _ in range(5):
+            spot = rng.randint(0, 880)
+            data.append((k, base[:spot] + line(2) + base[spot + rng.randint(0, 4) :]))
+            k += 1
+        data += [(k, base), (k + 1, base), (k + 2, base[:200] + line(700))]
+        k += 3
+    data += [(900, "a"), (901, "a"), (902, "b"), (903, ""), (904, None), (None, "a"), (905, "a"), (905, "zz")]
+    table = docs(data)
+    got = editembed.edited_likeness(table, shard_bytes=3000, near=0.8).select("doc_id", "fingerprint", "near_class").collect()
+    prints = [editembed.fingerprints_of([t or ""])[0] for _, t in data]
+    up = list(range(len(data)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            same = len(prints[i]) == len(prints[j]) and (prints[i] == prints[j]).all()
+            if same or set(editembed.buckets_of(prints[i])) & set(editembed.buckets_of(prints[j])) and editembed.likeness(prints[i], prints[j]) >= 0.8:
+                up[root(i)] = root(j)
+    want = []
+    for i, (key, _) in enumerate(data):
+        ids = [d[0] for j, d in enumerate(data) if root(j) == root(i) and d[0] is not None]
+        want.append((key, editembed.as_text(prints[i]), min(ids, default=None)))
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+    assert len({w[2] for w in want}) < len(data) - 25
+
+
+def test_language_scores_by_brute_force(spark):
+    import pyarrow as pa
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(table, F.lit(True), per_language=20)
+    texts = [r.text or "" for r in table.select("text").collect()] + ["", "123", "日本語", "qzx wvkj", " a  b ", "x" * 3000, "El niño 3 años"]
+    names, scores = language.Scorer(model)(pa.array(texts))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        rows = [model.word(w) for w in language.words_of(text)]
+        if not rows and not any(map(str.isalpha, text)):
+            assert (name, score) == ("und", 0.0)
+            continue
+        mean = [sum(float(r[k]) for r in rows) / max(1, len(rows)) for k in range(len(model.languages))]
+        odds = [math.exp((m - max(mean)) * min(max(1, len(rows)), 12)) for m in mean]
+        assert score == pytest.approx(1 / sum(odds), rel=1e-4) and mean[model.languages.index(name)] == pytest.approx(max(mean), abs=1e-5)
+
+
+def test_mixing_query_by_brute_force(spark):
+    import re
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    hashes = table.select("doc_id", "source", "text", mixing.place_hash(F.col("doc_id"), 17).alias("h")).withColumn("b", F.xxhash64("h")).collect()
+    tokens = {}
+    for r in hashes:
+        tokens[r.source] = tokens.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]{1,16}", r.text or ""))
+    low, high = 0.0, 1.0  # of epochs t ** (x - 1), over the least, the most is 2
+    for _ in range(80):
+        x = (low + high) / 2
+        rates = [t ** (x - 1) for t in tokens.values()]
+        low, high = (x, high) if max(rates) / min(rates) > 2 else (low, x)
+    rates = {s: t ** (high - 1) for s, t in tokens.items()}
+    epochs = {s: r / min(rates.values()) for s, r in rates.items()}
+    blocks = {s: max(1, math.ceil(t / 3000)) for s, t in tokens.items()}
+    turns = spark.createDataFrame([(e, b) for e in range(2) for b in range(max(blocks.values()))], "epoch int, block long").select("epoch", "block", F.xxhash64(F.lit(17), "epoch", "block").alias("r")).collect()
+    rank = {(t.epoch, t.block): t.r for t in turns}
+    want = set()
+    for source in tokens:
+        held = {}
+        for r in hashes:
+            if r.source == source:
+                held.setdefault(r.b % blocks[source], []).append((r.h, r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]{1,16}", r.text or ""))))
+        for e in range(math.ceil(epochs[source] - 1e-9)):
+            room = round(min(1.0, epochs[source] - e) * tokens[source])
+            for b in sorted(held, key=lambda b: (rank[e, b], b)):
+                used = 0
+                for _, doc, n in sorted(held[b]):
+                    used += n
+                    if room > 0 and used <= room:
+                        want.add((doc, e))
+                room -= sum(n for _, _, n in held[b])
+    got = [(r.doc_id, r.epoch) for r in mixing.mixed_stream(table, block_tokens=3000).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    from discweave.llm import bitplane, bpe, exact, minhash
+    from discweave.llm.common import scratch
+
+    names = ["id", "k", "tie", "cls", "set", "_row", "_key", "_word", "_place", "label", "at", "key", "epoch", "block", "row", "n", "digest", "body", "shard", "task", "score", "held_out", "h", "mark", "signature", "tail"]
+    wide = odd
+    for name in names:
+        wide = wide.withColumn(name, F.lit(1))
+    import public_tokenizers
+
+    labels = spark.createDataFrame([(6, 0, 1)], "doc_id long, quality int, toxic int")
+    count = lambda f: (sorted(map(str, f(wide).select(*f(odd).columns).collect())), sorted(map(str, f(odd).collect())))
+    for f in (licences.scan_licences, lambda d: bpe.encode_documents(d, public_tokenizers.path("word_bpe_49k.json")), lambda d: exact.exact_groups(d).select("doc_id", "keep_id", "group_size", "text_sha256"), exact.keep_first,
+              minhash.keep_one, mixing.mixed_rows, language.keep_identified, editembed.edited_likeness, lambda d: toxicity.score_toxicity(d, labels)):
+        a, b = count(f)
+        assert a == b
+    assert exact.keep_first(wide).columns == wide.columns == minhash.keep_one(wide).columns == mixing.mixed_rows(wide).columns
+    entries = [bitplane.write_ids(d, scratch(spark, "t"), public_tokenizers.path("byte_bpe_50k.json"), shard_bytes=100) for d in (wide, odd)]
+    assert entries[0] == entries[1]
