@@ -37,4 +37,4 @@ def query(oracle: str | None = None):
     return register
 
 
-from discweave.plans import boxes, labels, lookups, media, menus, navigation, positions  # noqa: E402, F401  they register their queries
+from discweave.plans import boxes, frames, labels, lookups, media, menus, navigation, positions  # noqa: E402, F401  they register their queries
