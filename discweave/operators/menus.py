@@ -60,9 +60,8 @@ def densities(df: DataFrame, key: str, cells: str, width: int, threshold: float,
 
 
 def crop(cells: Column, width: int, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """The cells of a box out of a row-major array."""
-    rows = F.transform(F.sequence(F.lit(0), h - 1), lambda r: F.slice(cells, ((y + r) * width + x + 1).cast("int"), w.cast("int")))
-    return F.flatten(rows)
+    """The cells of a box out of a row-major array; null where the array ends before, or is null."""
+    return F.transform(F.sequence(F.lit(0), w * h - 1), lambda k: F.get(cells, ((y + F.floor(k / w)) * width + x + k % w).cast("int")))
 
 
 def best_offset(df: DataFrame, key: str, cells: str, width: int, template: str, template_width: int, step: int = 2) -> DataFrame:

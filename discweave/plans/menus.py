@@ -67,9 +67,10 @@ def pixel_density(t: Tables) -> DataFrame:
     SELECT vec_id, list_transform([embedding[11], embedding[12], embedding[13], embedding[19], embedding[20], embedding[21]], lambda v: round(CAST(v AS DOUBLE), 6)) AS cells FROM embeddings
 """)
 def grid_crop(t: Tables) -> DataFrame:
-    """SNK8: the cells of a box out of a grid."""
+    """SNK8: the cells of a box out of a grid. What rounds to zero keeps its sign, as in SQL."""
     two = [F.lit(v) for v in (2, 1, 3, 2)]
-    return t.embeddings.select("vec_id", F.transform(menus.crop(F.col("embedding"), 8, *two), lambda v: F.round(v.cast("double"), 6)).alias("cells"))
+    rounded = lambda v: F.signum(v) * F.round(F.abs(v), 6)
+    return t.embeddings.select("vec_id", F.transform(menus.crop(F.col("embedding"), 8, *two), lambda v: rounded(v.cast("double"))).alias("cells"))
 
 
 @query("""
