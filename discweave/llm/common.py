@@ -243,6 +243,9 @@ def keep_rows(docs: DataFrame, key: F.Column, decisions: DataFrame) -> DataFrame
     else:
         sure, maybe = (with_filter(packed, F.col("_key"), dropped, "key", bits, keep) for keep in (False, True))
     tied = decisions.groupBy("key").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")).where("some and not all").select(F.col("key").alias("_key"))
+    tied = materialize(tied, "tied")
+    if tied.isEmpty():
+        return sure.select("_row.*").unionByName(maybe.join(kept, "_key", "left_semi").select("_row.*"))
     lone = maybe.join(tied, "_key", "left_anti").join(kept, "_key", "left_semi")
     again = maybe.join(tied, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
     return sure.select("_row.*").unionByName(lone.select("_row.*")).unionByName(again.select("_row.*"))

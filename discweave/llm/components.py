@@ -12,8 +12,9 @@ def star_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge, component being the smallest node it reaches.
 
     ``edges`` has columns u and v of one ordered type; loops, repeated edges and null ends are
-    dropped. Each round is one plan written to the shared folder: large-star hangs a node's
-    larger neighbours on its smallest one, small-star the smaller ones. A table that a round
+    dropped. Each half of a round is one plan written to the shared folder, so that the driver never
+    holds a large plan: large-star hangs a node's larger neighbours on its smallest one, small-star
+    the smaller ones. A table that a round
     leaves as it was is a set of stars, and rounds go on until then. A node with many neighbours
     costs rows, never memory. No edges give no rows.
     """
@@ -35,10 +36,12 @@ def star_components(edges: DataFrame) -> DataFrame:
     while seen[0] and seen != before:
         n += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = work.put(hung(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"large-{n}")
         small = hung(large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         before = seen
         now, seen = written(small, n)
-        work.drop(str(n - 1))
+        work.drop(str(n - 1), f"large-{n}")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(leaves.select("component").distinct().select(F.col("component").alias("node"), "component"))
+    stars = work.put(leaves.unionByName(leaves.select("component").distinct().select(F.col("component").alias("node"), "component")), "stars")
+    work.drop(str(n))
+    return stars

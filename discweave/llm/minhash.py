@@ -282,11 +282,13 @@ def settled(work: Workspace, shared: DataFrame, signatures: DataFrame, clusters:
     if open_.isEmpty():
         return clusters
     blocks = F.greatest(F.ceil(F.col("n") / TASK_CLASSES), F.lit(1)).cast("int")
-    tasks = strays_and_all(inside.join(open_, "bucket").withColumn("weight", F.lit(1)), "bucket", blocks).join(signatures, "cls")
+    members = work.put(inside.join(open_, "bucket").withColumn("weight", F.lit(1)), "members")
+    tasks = strays_and_all(members, "bucket", blocks).join(signatures, "cls")
     tasks = tasks.select("bucket", "a", "b", "stray", "cls", "label", "signature").repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     joined = star_components(work.put(like_strays(tasks, agree), "joined"))
+    work.drop("members")
     every = labelled(shared.select("cls").distinct(), clusters)
-    every = labelled(every.withColumnRenamed("label", "old"), joined, "old").select(F.col("cls").alias("node"), F.col("label").alias("component"))
+    every = work.put(labelled(every.withColumnRenamed("label", "old"), joined, "old").select(F.col("cls").alias("node"), F.col("label").alias("component")), "every")
     return every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
 
 
@@ -341,22 +343,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select("cluster", blocks.alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     spread = F.when(F.col("cls") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    tasks = placed.select("cluster", F.explode(spread).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("stray"), "cls", F.col("cls").alias("label"))
+    tasks = work.put(placed.select("cluster", F.explode(spread).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("stray"), "cls", F.col("cls").alias("label")), "tasks")
     links = work.put(confirm(with_texts(tasks, clusters, own), width, percent), "links")
     tops = star_components(links)
-    left = labelled(clusters.join(sizes.where("blocks > 1"), "cluster").select("cluster", "cls", "weight"), tops)
-    strays = strays_and_all(left, "cluster", blocks)
+    left = work.put(labelled(clusters.join(sizes.where("blocks > 1"), "cluster").select("cluster", "cls", "weight"), tops), "left")
+    strays = work.put(strays_and_all(left, "cluster", blocks), "strays")
     if not strays.isEmpty():
-        more = work.put(confirm(with_texts(work.put(strays, "strays"), clusters, own), width, percent), "more")
-        work.drop("strays")
+        more = work.put(confirm(with_texts(strays, clusters, own), width, percent), "more")
         tops = star_components(links.unionByName(more))
 
-    known = tops.select(F.col("node").alias("cls"), F.col("component").alias("top")).join(classes.select("cls", "id"), "cls")
+    known = work.put(tops.select(F.col("node").alias("cls"), F.col("component").alias("top")).join(classes.select("cls", "id"), "cls"), "known")
     least = known.groupBy("top").agg(F.min("id").alias("component"))
     reached = known.join(least, "top").select("cls", F.col("component").alias("other"), F.lit(True).alias("grouped"))
     component = F.when(F.col("grouped"), F.col("other")).otherwise(F.col("id"))
     found = work.put(classes.select("cls", "set", "id").join(reached, "cls", "left").select("set", component.alias("component")), "components")
-    work.drop("clusters", "links")
+    work.drop("clusters", "links", "tasks", "left", "strays", "known")
     result = signed.select("id", "n", "set", "mark").join(found, "set", "left")
     component = F.when(F.col("set").isNull(), F.col("id")).otherwise(F.col("component"))
     result = result.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("mark").alias("text_hash"))

@@ -5,7 +5,7 @@ from compare import canonical, connect, duck
 from pyspark.sql import functions as F
 
 from discweave.llm import components, exact, minhash, queries
-from discweave.llm.common import keep_rows, with_filter
+from discweave.llm.common import Workspace, keep_rows, with_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,3 +134,24 @@ def test_the_longest_spelling_stays_also_where_ids_are_shared(spark, docs):
     table = spark.createDataFrame([(1, "a", "p"), (1, "a", "q"), (2, "b", "r")], "doc_id long, text string, best string")
     kept = exact.keep_first(table)
     assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_near_copies_hand_the_driver_small_plans(docs, monkeypatch):
+    """A plan's tables, counted as often as it reads them: what the driver holds grows with their number."""
+    leaves = lambda df: df._jdf.queryExecution().analyzed().collectLeaves().size()
+    put, seen = Workspace.put, {}
+
+    def counted(work, df, name):
+        seen[name] = max(leaves(df), seen.get(name, 0))
+        return put(work, df, name)
+
+    monkeypatch.setattr(Workspace, "put", counted)
+    rng = random.Random(5)
+    data, words = [], None
+    for k in range(120):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(60)] if k % 12 == 0 else [w if rng.random() > 0.02 else "x" for w in words]
+        data.append((k, " ".join(words)))
+    left = minhash.keep_one(docs(data), width=4)
+    assert 0 < left.count() < 120
+    seen["result"] = leaves(left)
+    assert max(seen.values()) <= 6, seen
